@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYT
     """Cut record batches so that one column's bytes stay near `most` (a longer row stands alone)."""
     for batch in batches:
         held, start = 0, 0
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
         for i, n in enumerate(sizes):
             if held and held + (n or 0) > most:
                 yield batch.slice(start, i - start)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, simhash, subdedup
+from . import ann, bpe, langid, licenses, media, packing, sharding, simhash, subdedup, warc
 from .common import table
 
 
@@ -16,6 +16,22 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "cut_spans", "n_chunks", "n_cut")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.columns(table(spark, sf_dir, "documents"))
+
+
+def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, "vec_id", "embedding", k=5)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleave(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.classes(table(spark, sf_dir, "documents"), size=4, radius=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -25,14 +41,79 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary=packing.VOCABULARY, room=2048, end_id=1)
 
 
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), per_lang=400)
 
 
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.from_pages(table(spark, sf_dir, "pages")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_substring_dedup": op1_substring_dedup,
-    "op6_simhash_dedup": op6_simhash_dedup,
-    "op7_packing": op7_packing,
-    "op9_language_id": op9_language_id,
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_license_scan,
+        op3_media_columns,
+        op4_ann_search,
+        op5_sharding,
+        op6_simhash_dedup,
+        op7_packing,
+        op8_bpe_codec,
+        op9_language_id,
+        op10_warc_derivatives,
+    )
 }
-ORACLE: dict[str, str] = {}
+
+# Written from the contract, not from the operator: words as a list, phrases by position, and
+# each template as a regular expression over the words between single spaces.
+_LICENSE_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), p AS (
+  SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS line,
+    [i FOR i IN range(len(w)) IF w[i+1] = 'gnu' AND w[i+2] = 'general' AND w[i+3] = 'public' AND w[i+4] = 'license'] AS gpl,
+    [i FOR i IN range(len(w)) IF w[i+1] = 'apache' AND w[i+2] = 'license'] AS apache,
+    [i FOR i IN range(len(w)) IF w[i+1] = 'cc' AND w[i+2] = 'by'] AS ccby,
+    [i FOR i IN range(len(w)) IF w[i+1] = 'mit' AND w[i+2] = 'license'] AS mit
+  FROM w
+), l AS (
+  SELECT *, list_concat(list_concat(gpl, apache), list_concat(ccby, mit)) AS places,
+    list_concat(list_concat(CASE WHEN len(apache) > 0 THEN ['apache'] ELSE [] END, CASE WHEN len(ccby) > 0 THEN ['cc-by'] ELSE [] END),
+                list_concat(CASE WHEN len(gpl) > 0 THEN ['gpl'] ELSE [] END, CASE WHEN len(mit) > 0 THEN ['mit'] ELSE [] END)) AS base,
+    [t.name FOR t IN [{templates}] IF regexp_matches(line, t.pattern)] AS found
+  FROM p
+)
+SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+  array_to_string(base, ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, found))), ',') AS labels,
+  CASE WHEN len(found) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM l
+"""
+
+
+def _license_sql() -> str:
+    """The templates' patterns: an optional region is an optional group, a replaceable one any
+    words up to its bound."""
+
+    def pattern(markup: str) -> str:
+        out, at = " ", 0
+        for m in [*licenses._MARK.finditer(markup), None]:
+            plain = markup[at : m.start() if m else None]
+            out += "".join(x.decode() + " " for x in licenses.words(plain.encode()))
+            if m is None:
+                return out
+            at = m.end()
+            out += {"beginOptional": "(?:", "endOptional": ")?"}.get(m[1]) or f"(?:[^ ]+ ){{0,{m[2].rpartition('max=')[2]}}}"
+
+    each = [f"{{'name': '{label}', 'pattern': '{pattern(markup)}'}}" for label, markups in licenses.TEMPLATES.items() for markup in markups]
+    return _LICENSE_SQL.replace("{templates}", ", ".join(each))
+
+
+ORACLE: dict[str, str] = {"op2_license_scan": _license_sql()}
