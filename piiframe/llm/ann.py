@@ -64,7 +64,7 @@ class Quantiser:
     beam: int
 
     @classmethod
-    def fit(cls, rows: np.ndarray, books: int = 8, words: int = 256, rounds: int = 8, beam: int = 8, seed: int = 5) -> Quantiser:
+    def fit(cls, rows: np.ndarray, books: int = 16, words: int = 256, rounds: int = 8, beam: int = 4, seed: int = 5) -> Quantiser:
         """Codebooks one after another, each over what the earlier ones leave."""
         draw = np.random.Generator(np.random.PCG64(seed))
         rest, out = rows.astype(np.float64), []
@@ -110,11 +110,18 @@ class Quantiser:
         return out / np.sqrt(np.maximum(norms, 1e-12))
 
 
+def _vectors(rows: DataFrame, vec_col: str):
+    """The vectors as they are (floats stay floats), but with no negative zeros, so that equal
+    ones are equal as keys too."""
+    kind = "float" if rows.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    return F.transform(F.col(vec_col).cast(f"array<{kind}>"), lambda x: x + F.lit(0.0).cast(kind))
+
+
 def candidates(rows: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """key (smallest id), ids (the k + 1 smallest), vec of each different vector that takes part."""
-    vec = F.col(vec_col).cast("array<double>")
+    vec = _vectors(rows, vec_col)
     ok = F.col(id_col).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(vec, lambda x: x != 0)
-    valid = rows.where(ok).select(F.col(id_col).cast("long").alias("id"), F.transform(vec, lambda x: x + F.lit(0.0)).alias("vec"))
+    valid = rows.where(ok).select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
     # the row limit is applied before the shuffle too, so a vector that many rows hold sends few
     first = Window.partitionBy("vec").orderBy("id")
     few = valid.withColumn("r", F.dense_rank().over(first)).where(F.col("r") <= k + 1).select("id", "vec").distinct()
@@ -129,7 +136,7 @@ def _blocks(rows: DataFrame, size: int, total: int, seed: int) -> DataFrame:
 
 
 def search(
-    rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, shortlist: int = 200, sample: int = 8192, books: int = 8, words: int = 256, beam: int = 8, query_block: int = 512, code_block: int = 1 << 15
+    rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, shortlist: int = 512, sample: int = 8192, books: int = 16, words: int = 256, beam: int = 4, query_block: int = 512, code_block: int = 1 << 15
 ) -> DataFrame:
     """query_id, rank, vec_id, score: of each row for which is_query(id column) holds, the k
     nearest other rows by cosine.  sample: how many vectors the codebooks are fitted on."""
@@ -157,7 +164,7 @@ def search(
     packed = coded.groupBy("block").agg(F.collect_list(F.struct("key", "code", "norm")).alias("codes"))
 
     # every distinct vector that a query holds asks once
-    more = rows.where(is_query(F.col(id_col))).select(F.col(id_col).cast("long").alias("query_id"), F.transform(F.col(vec_col).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vec")).distinct()
+    more = rows.where(is_query(F.col(id_col))).select(F.col(id_col).cast("long").alias("query_id"), _vectors(rows, vec_col).alias("vec")).distinct()
     queries = cut(more.join(found.select("key", "vec"), "vec").select("query_id", "key", "vec"))
     distinct = queries.select("key", "vec").dropDuplicates(["key"])
     n_queries = distinct.count()
@@ -198,7 +205,7 @@ def search(
     short = merged.select("asked", F.explode("own").alias("s")).select("asked", F.col("s.key").alias("key"))
 
     # exact scores on the original vectors, and each vector's ids
-    pairs = short.join(found, "key").join(distinct.select(F.col("key").alias("asked"), F.col("vec").alias("q")), "asked")
+    pairs = short.join(distinct.select(F.col("key").alias("asked"), F.col("vec").alias("q")), "asked").join(found, "key")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
