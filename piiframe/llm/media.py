@@ -6,7 +6,7 @@ the frame's mean level; each peak is paired with peaks that follow closely, and
 two frequencies, distance and time make one time-coded entry of the fingerprint.
 
 Defined results: null texts count as empty, and the payload is always a positive multiple of
-64 bytes; a payload of silence (all samples equal) has peaks nowhere and an empty fingerprint.
+64 bytes; frames of one steady level have no peaks, so a fingerprint can be empty.
 Equal payloads give equal values.  A null doc_id is kept.  Only doc_id and the text are read,
 so other columns cannot clash.
 """
@@ -69,6 +69,7 @@ def spectrum(samples: np.ndarray, first: int, last: int) -> np.ndarray:
     own = samples[low:high]
     part[: len(own)] = own.astype(np.float32) - 128.0
     frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
+    frames = frames - frames.mean(1, keepdims=True)
     return np.abs(np.fft.rfft(frames * _WINDOW, axis=1)).astype(np.float32)
 
 
@@ -91,7 +92,7 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     times, bins = [], []
     for at in range(0, n, SPAN):
         low, high = max(0, at - NEAR_FRAMES), min(n, at + SPAN + NEAR_FRAMES)
-        level = spectrum(samples, low, high)[:, 1:]  # without the constant part
+        level = spectrum(samples, low, high)[:, 1:]  # the constant part is gone
         mean = level.mean(1, keepdims=True)
         loud = (level > OVER_MEAN * mean) & (level > 1.0)
         peak = loud & (level == _top(_top(level, NEAR_BINS, 1), NEAR_FRAMES, 0))
