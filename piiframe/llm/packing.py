@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +37,15 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Lookup(dict):
+    """A bounded cache and, in `extra`, what it has no room for."""
+
+    extra: dict = {}
+
+    def __missing__(self, key):
+        return self.extra[key]
+
+
 class WordTokenizer:
     """Token ids of whole texts, as the tokenizers library gives them without special tokens,
     by looking up white-space-delimited words in a cache.
@@ -51,48 +61,55 @@ class WordTokenizer:
     # str.split() also splits at these, the vocabulary's pattern does not
     NOT_SPACE = re.compile("[\x1c-\x1f]")
 
-    def __init__(self, vocabulary: str, words: int = 250_000, pieces: int = 500_000):
+    def __init__(self, vocabulary: str, words: int = 500_000, pieces: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary_path(vocabulary))
-        self.words: dict[str, bytes] = {}
+        self.words: Lookup = Lookup()
         self.pieces: dict[str, bytes] = {}
         self.most_words, self.most_pieces = words, pieces
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [struct.pack(f"<{len(x)}I", *x.ids) for x in found]
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that the cache lacks."""
-        split: dict[str, list[str]] = {}
-        asked: dict[str, bytes] = {}
+        split: list[tuple[str, ...] | list[str]] = []
+        known, asked = self.pieces, {}
         for w in words:
-            plain = self.PLAIN.fullmatch(w) and "<|" not in w
-            split[w] = self.PIECE.findall(w.lower()) if plain else [w]
-            for p in split[w]:
-                if p not in self.pieces:
+            if w.isascii() and w.isalpha():
+                ps = (w.lower(),)
+            elif w.isascii() and w[:-1].isalpha() and w[-1] in ".,!?;:":
+                ps = (w[:-1].lower(), w[-1])
+            elif self.PLAIN.fullmatch(w) and "<|" not in w:
+                ps = self.PIECE.findall(w.lower())
+            else:
+                ps = (w,)
+            split.append(ps)
+            for p in ps:
+                if p not in known:
                     asked[p] = b""
         if asked:
             asked = dict(zip(asked, self._library(list(asked))))
-            if len(self.pieces) < self.most_pieces:
-                self.pieces.update(asked)
-        known = self.pieces
-        return {w: b"".join([known[p] if p in known else asked[p] for p in ps]) for w, ps in split.items()}
+            if len(known) < self.most_pieces:
+                known.update(asked)
+                asked = {}
+        if asked:
+            return {w: b"".join([known[p] if p in known else asked[p] for p in ps]) for w, ps in zip(words, split)}
+        return {w: known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for w, ps in zip(words, split)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [None if self.NOT_SPACE.search(t) else t.split() for t in texts]
         cache = self.words
-        missing = {w for ws in split if ws for w in set(ws).difference(cache)}
-        if missing:
-            learnt = self._learn(list(missing))
-            if len(cache) < self.most_words:
-                cache.update(learnt)
-            else:
-                cache = {w: cache[w] if w in cache else learnt[w] for ws in split if ws for w in ws}
-        return [self._library([t])[0] if ws is None else b"".join(map(cache.__getitem__, ws)) for t, ws in zip(texts, split)]
+        missing = set().union(*[ws for ws in split if ws]).difference(cache)
+        cache.extra = self._learn(list(missing)) if missing else {}
+        if len(cache) < self.most_words:
+            cache.update(cache.extra)
+        of = cache.__getitem__
+        return [self._library([t])[0] if ws is None else b"".join(map(of, ws)) for t, ws in zip(texts, split)]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
