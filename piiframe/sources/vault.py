@@ -7,6 +7,7 @@ looked at afterwards, so that a row that was overwritten never comes back.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from typing import Protocol
 
@@ -87,36 +88,40 @@ class MemoryVault:
 
 
 class ParquetVault:
-    """A log in Parquet files under one path that all executors share.  Appends are whole
-    files; a compaction writes a new generation and then points at it."""
+    """A log in Parquet under one path that all executors share.
+
+    Every append is a folder of its own, which counts once its _SUCCESS mark is there; a
+    compaction writes a new generation of folders, and the latest generation is read.  A log
+    names its folders one by one: two states of the log are then two relations, where one
+    path would be one relation to Spark, whose listing it may reuse.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self._path = spark, path.rstrip("/")
 
-    def _files(self):
-        jvm, conf = self._spark._jvm, self._spark._jsparkSession.sessionState().newHadoopConf()
-        path = jvm.org.apache.hadoop.fs.Path(self._path)
-        return path.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
-
-    def _generation(self) -> int:
-        fs, path = self._files()
-        if not fs.exists(path(self._path)):
-            return 0
-        done = [s.getPath().getName() for s in fs.listStatus(path(self._path)) if fs.exists(path(f"{self._path}/{s.getPath().getName()}/_SUCCESS"))]
-        return max((int(n[4:]) for n in done if n.startswith("gen=")), default=0)
+    def _batches(self) -> tuple[int, list[str]]:
+        """The latest generation and its whole folders."""
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._path)
+        fs = path.getFileSystem(self._spark._jsparkSession.sessionState().newHadoopConf())
+        found: dict[int, list[str]] = {}
+        for mark in fs.globStatus(self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._path}/gen-*/batch-*/_SUCCESS")) or []:
+            folder = mark.getPath().getParent()
+            found.setdefault(int(folder.getParent().getName()[4:]), []).append(folder.toString())
+        last = max(found, default=0)
+        return last, sorted(found.get(last, []))
 
     def log(self) -> DataFrame:
-        fs, path = self._files()
-        where = f"{self._path}/gen={self._generation()}"
-        if not fs.exists(path(where)):
-            return self._spark.createDataFrame([], SCHEMA)
-        return self._spark.read.schema(SCHEMA).parquet(where)
+        _, folders = self._batches()
+        return self._spark.read.schema(SCHEMA).parquet(*folders) if folders else self._spark.createDataFrame([], SCHEMA)
+
+    def _write(self, rows: DataFrame, generation: int) -> None:
+        rows.write.parquet(f"{self._path}/gen-{generation}/batch-{uuid.uuid4().hex}")
 
     def append(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self._path}/gen={self._generation()}")
+        self._write(rows, self._batches()[0])
 
     def replace(self, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self._path}/gen={self._generation() + 1}")
+        self._write(rows, self._batches()[0] + 1)
 
 
 class KeyValueStore(Protocol):
