@@ -35,8 +35,8 @@ class StaticKeys:
 class EnvKeys:
     """Secrets from environment variables of the driver, with the same fallback."""
 
-    encryption_var: str = "MASK_ENCRYPTION_KEY"
-    master_var: str = "MASK_MASTER_KEY"
+    encryption_var: str = "PIIFRAME_ENCRYPTION_KEY"
+    master_var: str = "PIIFRAME_MASTER_KEY"
 
     def encryption_key(self) -> str:
         found = os.environ.get(self.encryption_var)

@@ -140,7 +140,7 @@ class KeyValueVault:
 
     BATCH = 500
 
-    def __init__(self, connect: Callable[[], KeyValueStore], prefix: str = "mask"):
+    def __init__(self, connect: Callable[[], KeyValueStore], prefix: str = "piiframe"):
         self._connect, self._prefix = connect, prefix
 
     def store(self, rows: DataFrame) -> None:
@@ -277,5 +277,5 @@ def make_vault(kind: str, spark: SparkSession, **options) -> object:
     if kind == "parquet":
         return ParquetVault(spark, options["path"])
     if kind in ("redis", "memcached", "dynamodb"):
-        return KeyValueVault(options["connect"], options.get("prefix", "mask"))
+        return KeyValueVault(options["connect"], options.get("prefix", "piiframe"))
     raise ValueError(f"unknown vault type: {kind!r}")

@@ -101,13 +101,13 @@ def test_cipher(spark):
 
 def test_keys(monkeypatch):
     assert StaticKeys("e", "m").master_key() == "m" and StaticKeys("e").master_key() == "e"
-    monkeypatch.delenv("MASK_ENCRYPTION_KEY", raising=False)
-    monkeypatch.delenv("MASK_MASTER_KEY", raising=False)
+    monkeypatch.delenv("PIIFRAME_ENCRYPTION_KEY", raising=False)
+    monkeypatch.delenv("PIIFRAME_MASTER_KEY", raising=False)
     with pytest.raises(KeyError):
         EnvKeys().encryption_key()
-    monkeypatch.setenv("MASK_ENCRYPTION_KEY", "e")
+    monkeypatch.setenv("PIIFRAME_ENCRYPTION_KEY", "e")
     assert EnvKeys().master_key() == "e"
-    monkeypatch.setenv("MASK_MASTER_KEY", "m")
+    monkeypatch.setenv("PIIFRAME_MASTER_KEY", "m")
     assert EnvKeys().master_key() == "m" and EnvKeys().encryption_key() == "e"
     assert CallbackKeys({"encryption": "e", "master": None}.get).master_key() == "e"
     with pytest.raises(KeyError):

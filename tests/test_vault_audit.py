@@ -144,7 +144,7 @@ def test_key_value_vault(spark, tmp_path):
     assert column(store.retrieve(df, "v"), "ciphertext") == ["c1", "c2", None, None]
     assert column(store.find(frame(spark, "h1", "h2"), "v"), "token") == ["t1", None]
     store.delete(spark.createDataFrame([("t1",)], "token string"))
-    assert Fake(path)._read() == {"mask:t2": "c2"}
+    assert Fake(path)._read() == {"piiframe:t2": "c2"}
     with pytest.raises(ValueError):
         vault.make_vault("cloud", spark)
 
