@@ -153,6 +153,25 @@ def _kept(spans: Column, options: Options, master: str) -> Column:
     return F.transform(sure, lambda s: s.withField("masked", token(s["value"], master)))
 
 
+def _judged(texts: list[str], options: Options, detector: Detector) -> list[list[dict]]:
+    """A detector's finds as span rows, with raised confidence where it is due."""
+    try:
+        found = detector.find(texts)
+    except Exception:
+        if not detector.fail_open:
+            raise
+        found = [[] for _ in texts]
+    rows = []
+    for t, spans in zip(texts, found):
+        row = []
+        for s in spans:
+            score, kind = float(s.get("score", detector.default_score)), s["entity_type"]
+            sure = min(1.0, score + detector.boost) if options.boosted(kind) else score
+            row.append({"start": s["start"], "end": s["end"], "pri": 0, "type": kind, "value": t[s["start"] : s["end"]], "confidence": sure})
+        rows.append(row)
+    return rows
+
+
 def _second_tier(df: DataFrame, text: str, out: str, options: Options, detector: Detector, master: str) -> DataFrame:
     """Columns `out` (spans with tokens) found by a detector in df[text]."""
 
@@ -160,28 +179,27 @@ def _second_tier(df: DataFrame, text: str, out: str, options: Options, detector:
     def find(texts):
         import pandas as pd
 
-        given = [t or "" for t in texts]
-        try:
-            found = detector.find(given)
-        except Exception:
-            if not detector.fail_open:
-                raise
-            found = [[] for _ in given]
-        rows = []
-        for t, spans in zip(given, found):
-            row = []
-            for s in spans:
-                score = float(s.get("score", detector.default_score))
-                kind = s["entity_type"]
-                sure = min(1.0, score + detector.boost) if options.boosted(kind) else score
-                row.append({"start": s["start"], "end": s["end"], "pri": 0, "type": kind, "value": t[s["start"] : s["end"]], "confidence": sure})
-            rows.append(row)
-        return pd.Series(rows)
+        return pd.Series(_judged([t or "" for t in texts], options, detector))
 
     with_spans = df.withColumn(out, find(F.col(text))).withColumn(out, resolve(F.col(out)))
     return with_spans.withColumn(out, _kept(F.col(out), options, master))
 
 
+def second_spans(df: DataFrame, texts: Column, out: str, options: Options, detector: Detector) -> DataFrame:
+    """A map from each text of an array column to the detector's spans in it, for nested columns,
+    whose lambdas cannot call Python themselves."""
+
+    @F.pandas_udf(f"map<string, {SPANS}>")
+    def find(lists):
+        import pandas as pd
+
+        each = [list(dict.fromkeys(t for t in (ts if ts is not None else []) if t)) for ts in lists]
+        found = iter(_judged([t for ts in each for t in ts], options, detector))
+        return pd.Series([{t: next(found) for t in ts} for ts in each])
+
+    return df.withColumn(out, find(texts))
+
+
 def scan(df: DataFrame, text: str, master: str, options: Options = Options(), detector: Detector | None = None, text_out: str | None = None, entities_out: str | None = None) -> DataFrame:
     """df with the rewritten text and/or the entity list.  A null text gives null and no
     entities.  Without a detector the second tier finds nothing."""

@@ -11,7 +11,7 @@ from ..functions import text
 from ..functions.crypto import Cipher
 from ..functions.keys import EnvKeys, KeyProvider
 from ..operators import detect, restore
-from ..operators.nested import has_text, walk
+from ..operators.nested import has_text, leaves, walk
 from ..sources import vault as vaults
 from ..streaming import audit
 
@@ -88,16 +88,23 @@ class Engine:
         return restore.detokenize_text(df, column, vaults.live(self.vault.log(), as_of), self.cipher, out)
 
     def deep_encode(self, df: DataFrame, columns: list[str], options: detect.Options = detect.Options()) -> DataFrame:
-        """Strings in (nested) columns: whole tokens stay, other texts are scanned."""
+        """Strings in (nested) columns: whole tokens stay, other texts are scanned, by the
+        detector too if there is one."""
+        kinds = {c: df.schema[c].dataType for c in columns if has_text(df.schema[c].dataType)}
 
-        def leaf(c: Column) -> Column:
-            spans = detect.resolve(detect.candidates(c, options))
-            kept = detect._kept(spans, options, self._master)
+        def replaced(c: Column, spans: Column) -> Column:
+            kept = detect._kept(detect.resolve(spans), options, self._master)
             return F.when(c.isNull() | text.looks_like_token(c), c).otherwise(detect._splice(c, kept, lambda s: s["masked"]))
 
-        for c in columns:
-            if has_text(df.schema[c].dataType):
-                df = df.withColumn(c, walk(F.col(c), df.schema[c].dataType, leaf))
+        if options.first:
+            for c, kind in kinds.items():
+                df = df.withColumn(c, walk(F.col(c), kind, lambda x: replaced(x, detect.candidates(x, options))))
+        if options.second and self.detector is not None and kinds:
+            texts = F.concat(*[leaves(F.col(c), kind) for c, kind in kinds.items()])
+            df = detect.second_spans(df, texts, "_second", options, self.detector)
+            for c, kind in kinds.items():
+                df = df.withColumn(c, walk(F.col(c), kind, lambda x: replaced(x, F.coalesce(F.element_at("_second", x), F.array().cast(detect.SPANS)))))
+            df = df.drop("_second")
         return df
 
     def deep_decode(self, df: DataFrame, columns: list[str], as_of: float) -> DataFrame:

@@ -147,6 +147,15 @@ def test_deep_encode_and_decode(spark):
     assert [b.asDict(True) for b in back] == [x.asDict(True) for x in df.orderBy("i").collect()]
 
 
+def test_deep_encode_with_a_detector(spark):
+    own = Engine(spark, StaticKeys("enc", KEY), detector=detect.Detector(names))
+    df = spark.createDataFrame([(["see ADA, a@b.co", None, "tkn-abcd1234@email.com", ""], {"k": "BOB"})], "l array<string>, m map<string, string>")
+    r = own.deep_encode(df, ["l", "m"], detect.Options(aggressive=True)).first()
+    assert re.fullmatch(r"see \[TKN-\w{8}\], tkn-\w{8}@email\.com", r.l[0]) and list(r.l[1:]) == [None, "tkn-abcd1234@email.com", ""]
+    assert re.fullmatch(r"\[TKN-\w{8}\]", r.m["k"])
+    assert own.deep_encode(df, ["l"]).first().l[0].startswith("see ADA")  # 0.6 is under the threshold
+
+
 def test_leaves(spark):
     df = payload(spark)
     got = df.select(*[nested.leaves(F.col(c), df.schema[c].dataType).alias(c) for c in ("user", "cc", "extra", "deep")]).orderBy(F.size("user").desc()).collect()
