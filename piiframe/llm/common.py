@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows that go through a numpy or regex step at a time hold about so many bytes of text.
 SLICE_BYTES = 8 << 20
+#: Arrow batches hold about so many bytes at most.
+BATCH_BYTES = str(6 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers some megabytes at a time, whatever their lengths: rows of long
+    texts would else make batches that a small executor cannot hold twice."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -34,6 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

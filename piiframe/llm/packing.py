@@ -61,7 +61,7 @@ class WordTokenizer:
     # str.split() also splits at these, the vocabulary's pattern does not
     NOT_SPACE = re.compile("[\x1c-\x1f]")
 
-    def __init__(self, vocabulary: str, words: int = 500_000, pieces: int = 500_000):
+    def __init__(self, vocabulary: str, words: int = 300_000, pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
