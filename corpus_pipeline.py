@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from piiframe.llm import langid, packing, simhash, subdedup
-from piiframe.llm.common import shared_dir, table
+from piiframe.llm.common import shared_dir, small_batches, table
 
 #: A document whose language is less sure than this goes, as does one without a letter.
 LEAST_SCORE = 0.2
@@ -20,6 +20,7 @@ LEAST_SCORE = 0.2
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages stay."""
+    small_batches(spark)
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
     found = langid.predict(docs, model, pred="_lang_pred", score="_lang_score")
     kept = found.where((F.col("_lang_pred") != langid.UNDETERMINED) & (F.col("_lang_score") >= LEAST_SCORE))
@@ -27,12 +28,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies (five-word shingles alike to 0.8) the smallest id stays."""
+    small_batches(spark)
     return simhash.keep_one(docs).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are taken out; n_chars follows the text."""
+    small_batches(spark)
     out = subdedup.dedup(docs).select(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -41,6 +44,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of at most 2048 ids."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
