@@ -213,6 +213,10 @@ class Blocks:
         free = [b for b in range(BITS) if b not in used]
         return [[sum(1 << b for b in part)] for part in blocks(free, self.ways)]
 
+    def spent(self, mask: list[int]) -> frozenset[int]:
+        """Bits that a file under this mask has in common, so that filing it again skips them."""
+        return frozenset(b for b in range(BITS) if mask[0] >> b & 1)
+
 
 class Samples:
     """Links of wide codes, each found with a probability: files under samples of bits.
@@ -238,6 +242,9 @@ class Samples:
             out.append(mask)
         return out
 
+    def spent(self, mask: list[int]) -> frozenset[int]:
+        return frozenset()  # samples are drawn anew
+
 
 def _signed(mask: int) -> int:
     return mask - 2**64 if mask >= 2**63 else mask
@@ -302,11 +309,12 @@ def forest(rows: DataFrame, filing: Blocks | Samples, most: int = 1 << 17, deepe
             continue
         hot = cut(hot)
         out.append(linked(files.join(hot, ["way", "key"], "left_anti")))
-        # ways whose next masks are equal go on together
-        for key in {frozenset(b for b in range(BITS) if masks[w][0] >> b & 1) if isinstance(filing, Blocks) else frozenset() for w in ways}:
-            own = [w for w in ways if not isinstance(filing, Blocks) or key == frozenset(b for b in range(BITS) if masks[w][0] >> b & 1)]
+        together: dict[frozenset[int], list[int]] = {}
+        for way in ways:
+            together.setdefault(filing.spent(masks[way]), []).append(way)
+        for spent, own in together.items():
             again = files.where(F.col("way").isin(own)).join(hot, ["way", "key"], "left_semi")
-            todo.append((cut(again.select("id", *codes, F.col("key").alias("parent"))), used | key, depth + 1))
+            todo.append((cut(again.select("id", *codes, F.col("key").alias("parent"))), used | spent, depth + 1))
     links = out[0]
     for more in out[1:]:
         links = links.unionByName(more)
