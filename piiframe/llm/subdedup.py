@@ -25,8 +25,8 @@ from .common import text_bytes
 
 GEAR = np.array([int.from_bytes(blake2b(bytes([i]), digest_size=2, person=b"gear").digest(), "little") for i in range(256)], np.uint16)
 #: One in so many places is proposed as a cut.
-EVERY = 40
-LEAST, MOST = 16, 256
+EVERY = 30
+LEAST, MOST = 8, 256
 #: A cut moves at most so far to white space.
 REACH = 24
 
@@ -133,7 +133,7 @@ def remove(data: bytes, seen: set[int], min_words: int) -> tuple[bytes, list[tup
     return b"".join([*kept, data[at:]]), [(a, b) for a, b, _ in out], len(ends), sum(n for _, _, n in out)
 
 
-def dedup(docs: DataFrame, text: str = "text", min_words: int = 20) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", min_words: int = 15) -> DataFrame:
     """All columns and rows of docs, with repeats taken out of the text, and three more
     columns: cut_spans (start and end bytes in the old text), n_chunks, n_cut."""
     names = docs.columns
