@@ -76,6 +76,37 @@ class Detector:
     boost: float = field(default=0.2)
 
 
+def remote(url: str, language: str = "en", timeout: float = 10.0, fail_open: bool = False) -> Detector:
+    """A detector behind an HTTP service: one request for each text, a JSON list of spans back.
+    The connection is kept for a batch of texts."""
+
+    def find(texts: list[str]) -> list[list[dict]]:
+        import http.client
+        import json
+        from urllib.parse import urlsplit
+
+        at = urlsplit(url)
+        kind = http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection
+        link = kind(at.netloc, timeout=timeout)
+        out = []
+        try:
+            for text in texts:
+                if not text:
+                    out.append([])
+                    continue
+                link.request("POST", at.path or "/", json.dumps({"text": text, "language": language}), {"Content-Type": "application/json"})
+                answer = link.getresponse()
+                body = answer.read()
+                if answer.status >= 400:
+                    raise OSError(f"detector answered {answer.status}")
+                out.append(json.loads(body))
+        finally:
+            link.close()
+        return out
+
+    return Detector(find, method="nlp-remote", fail_open=fail_open)
+
+
 def resolve_boost(context: Column) -> Column:
     """The keywords that a context column holds."""
     return F.filter(F.array(*[F.lit(k) for k in CONTEXT_KEYWORDS]), lambda k: F.contains(F.lower(context), k))

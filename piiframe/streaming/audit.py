@@ -83,6 +83,24 @@ def stream(spark: SparkSession, path: str, checkpoint: str, send: Callable[[list
     return writer.start()
 
 
+def http_sink(url: str, api_key: str, timeout: float = 3.0) -> Callable[[list[str]], bool]:
+    """A sender that posts a batch as one JSON list; any answer under 400 counts as received."""
+
+    def send(batch: list[str]) -> bool:
+        from urllib.error import URLError
+        from urllib.request import Request, urlopen
+
+        body = '{"events": [' + ", ".join(batch) + "]}"
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {api_key}"}
+        try:
+            with urlopen(Request(url, body.encode(), headers), timeout=timeout) as answer:
+                return answer.status < 400
+        except (URLError, OSError):
+            return False
+
+    return send
+
+
 def rates(rows: DataFrame, width: str = "1 hour") -> DataFrame:
     """Events of each action in each window of time."""
     at = F.timestamp_seconds(F.col("ts"))

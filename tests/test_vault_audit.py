@@ -248,6 +248,58 @@ def test_stream(spark, tmp_path):
     assert sorted(json.loads(x)["token"] for x in lines) == sorted(f"tok_{i}" for i in range(25))
 
 
+@pytest.fixture
+def service():
+    """A local HTTP service: /ok keeps what it gets, /find finds capitals, /no refuses."""
+    import http.server
+    import re
+    import threading
+
+    got = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            got.append((self.path, body))
+            spans = [{"start": m.start(), "end": m.end(), "entity_type": "PERSON", "score": 0.9} for m in re.finditer("[A-Z]{3,}", body.get("text", ""))]
+            answer = json.dumps(spans).encode()
+            self.send_response(503 if self.path == "/no" else 200)
+            self.send_header("Content-Length", str(len(answer)))
+            self.end_headers()
+            self.wfile.write(answer)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", got
+    server.shutdown()
+
+
+def test_http_sink(service):
+    url, got = service
+    assert audit.http_sink(url + "/ok", "key")(['{"a": 1}', '{"a": 2}'])
+    assert got == [("/ok", {"events": [{"a": 1}, {"a": 2}]})]
+    assert not audit.http_sink(url + "/no", "key")(["{}"])
+    assert not audit.http_sink("http://127.0.0.1:9/", "key", timeout=0.5)(["{}"])
+
+
+def test_remote_detector(spark, service):
+    from piiframe.operators import detect
+
+    url, got = service
+    df = frame(spark, "see ADA", "", None)
+    out = detect.scan(df, "v", "key", detect.Options(), detect.remote(url + "/find"), entities_out="e").collect()
+    out.sort(key=lambda r: r.i)
+    assert [[(e.type, e.value, e.method, e.confidence) for e in r.e] for r in out] == [[("PERSON", "ADA", "nlp-remote", 0.9)], [], []]
+    assert got == [("/find", {"text": "see ADA", "language": "en"})]
+    safe = detect.scan(df, "v", "key", detect.Options(), detect.remote(url + "/no", fail_open=True), entities_out="e")
+    assert safe.selectExpr("sum(size(e))").first()[0] == 0
+    with pytest.raises(Exception):
+        detect.scan(df, "v", "key", detect.Options(), detect.remote(url + "/no"), entities_out="e").collect()
+
+
 def test_engine_audits(spark):
     kept = []
     own = Engine(spark, KEYS, audit_sink=lambda rows: kept.append(rows.select("action", "data_type", "token").collect()))
