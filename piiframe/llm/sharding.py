@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from .common import cut
 
 #: Rows that a bucket or cell holds on average, at most.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 
 
 def _starts(counts: DataFrame, within: list[str], by: str) -> DataFrame:

@@ -168,7 +168,7 @@ def test_chunks_fall_back_in_step():
     own = [set(subdedup.chunks(t.encode())[1]) for t in (a, b)]
     ends, digests = subdedup.chunks(a.encode())
     shared = sum(e - s for s, e, d in zip([0, *ends], ends, digests) if d in own[1])
-    assert shared > 0.6 * len(passage)
+    assert shared > 0.7 * len(passage)
 
 
 @given(st.text(max_size=600) | st.binary(max_size=600).map(lambda b: b.decode("latin-1")) | st.just("漢字" * 900) | st.just("a" * 3000))
@@ -225,7 +225,7 @@ def test_dedup(clashing, none, documents):
     docs = [(r["doc_id"], r["text"]) for r in some.collect()]
     out = subdedup.dedup(some)
     found = rows(out)
-    assert sorted((r["doc_id"], r["text"]) for r in found) == sorted(brute_dedup(docs, 20))
+    assert sorted((r["doc_id"], r["text"]) for r in found) == sorted(brute_dedup(docs, 15))
     assert any(r["n_cut"] for r in found)
     text = dict(docs)
     for r in found:  # what is left and what was cut make up the text
@@ -247,7 +247,7 @@ def test_planted_passages_go_and_the_rest_stays(spark):
             assert out[i] == t
         else:
             gone = len(t) - len(out[i])
-            assert passages[i % 20] not in out[i] and 0.4 * len(passages[i % 20]) < gone <= len(passages[i % 20]) + 24
+            assert passages[i % 20] not in out[i] and 0.5 * len(passages[i % 20]) < gone <= len(passages[i % 20]) + 24
 
 
 # --- packing
@@ -318,7 +318,7 @@ def test_pack(library, clashing, none, documents, room, group):
 # --- sharding
 
 
-@pytest.mark.parametrize("bucket_rows", [50_000, 7])
+@pytest.mark.parametrize("bucket_rows", [2_000, 7])
 def test_shards(clashing, none, documents, bucket_rows):
     got = rows(sharding.interleave(clashing, shards=3, bucket_rows=bucket_rows))
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == sorted((str(d), len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, _, _ in ROWS)
