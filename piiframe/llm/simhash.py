@@ -70,9 +70,9 @@ def fingerprint(text: bytes, size: int = 4) -> int:
     return majority(shingle_hashes(text, size))
 
 
-def wide_fingerprint(text: bytes, size: int, words: int) -> list[int]:
-    """`words` fingerprints of 64 bits over the different shingles, by hashes made from one."""
-    hashes, out = np.unique(shingle_hashes(text, size)), []
+def wide_code(hashes: np.ndarray, words: int) -> list[int]:
+    """`words` fingerprints of 64 bits over different shingles, by hashes made from one."""
+    out = []
     for i in range(words):
         mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -226,9 +226,9 @@ class Samples:
     k follows the number of codes, so that files of unlike codes stay small.
     """
 
-    def __init__(self, words: int, radius: int, codes: int, far: float = 0.152, missed: float = 0.03, seed: int = 23):
+    def __init__(self, words: int, radius: int, codes: int, far: float = 0.19, missed: float = 0.003, seed: int = 23):
         self.words, self.radius, self.far, self.missed, self.seed = words, radius, far, missed, seed
-        self.bits = max(18, int(np.ceil(np.log2(max(codes, 1) / 64 + 1))))
+        self.bits = max(12, int(np.ceil(np.log2(max(codes, 1) / 1024 + 1))))
 
     def masks(self, used: frozenset[int], depth: int) -> list[list[int]]:
         k = self.bits if depth == 1 else 8
@@ -356,31 +356,177 @@ def classes(docs: DataFrame, text: str = "text", size: int = 4, radius: int = 4,
     return fps.join(rooted.join(whole, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+# --- exact similarity -----------------------------------------------------------------------
+
+#: Sets that are compared with one another in one group: rows, and shingles in all.
+GROUP_ROWS, GROUP_SHINGLES = 1 << 10, 1 << 19
+#: Rows of a component of several groups that each of its groups gets.
+PIVOTS = 32
+#: Places in the bitmap of rows whose shingles are needed.
+PLACES = 1 << 23
+
+
+def alike_forest(sets: list[np.ndarray], alike: float) -> tuple[list[int], list[int]]:
+    """Pairs of positions that link all sets whose Jaccard similarity is `alike` or more.  A set
+    is compared with all that are in no component yet, so that dense groups cost few steps."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    end = np.cumsum(size)
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), size)
+    live, live_owner, left = shingle, owner, len(sets)
+    mark, free = np.zeros(len(shingle), bool), np.ones(len(sets), bool)
+    a: list[int] = []
+    b: list[int] = []
+    for first in range(len(sets)):
+        stack = [first] if free[first] else []
+        free[first] = False
+        while stack:
+            x = stack.pop()
+            open_ = np.count_nonzero(free)
+            if not open_:
+                return a, b
+            if 2 * open_ < left:
+                keep = free[live_owner]
+                live, live_owner, left = live[keep], live_owner[keep], open_
+            own = shingle[end[x] - size[x] : end[x]]
+            mark[own] = True
+            common = np.bincount(live_owner[mark[live]], minlength=len(sets))
+            mark[own] = False
+            near = np.flatnonzero(free & (common >= alike * (size + size[x] - common) - 1e-9)).tolist()
+            free[near] = False
+            stack += near
+            a += [x] * len(near)
+            b += near
+    return a, b
+
+
+def _confirm(alike: float):
+    """Rows (key, id, set) come sorted by key; links within each key's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets, a, b = None, [], [], [], []
+
+        def close() -> None:
+            if len(ids) > 1:
+                x, y = alike_forest(sets, alike)
+                a.extend(ids[i] for i in x)
+                b.extend(ids[i] for i in y)
+
+        for batch in batches:
+            for k, i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if k != key:
+                    close()
+                    key, ids, sets = k, [], []
+                ids.append(i)
+                sets.append(np.frombuffer(s.as_py(), np.uint64))
+            if a:
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        close()
+        if a:
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _place(*columns):
+    return F.pmod(F.xxhash64(*columns), F.lit(PLACES)) + 1
+
+
+def _sets(docs: DataFrame, text: str, size: int, wanted: DataFrame) -> DataFrame:
+    """id, set of the rows of wanted (id, doc_id, text_hash): the different shingles' hashes.
+    Only a bitmap of fixed size reaches the driver; it spares the shuffle of all other texts."""
+    numbers = wanted.select(_place("doc_id", "text_hash").alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+    bits = np.zeros((PLACES // 32768 + 1, 4096), np.uint8)
+    for r in numbers.collect():
+        bits[r["n"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits[1:].reshape(-1))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(2).to_numpy() - 1
+            at = np.flatnonzero(shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            few = batch.take(pa.array(at))
+            found = [np.unique(shingle_hashes(t.as_py(), size)).tobytes() for t in few.column(3)]
+            yield pa.record_batch([few.column(0), few.column(1), pa.array(found, pa.binary())], ["_doc", "_hash", "set"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"), text_bytes(text).alias("text"))
+    some = rows.select("_doc", "_hash", _place("_doc", "_hash").alias("p"), "text").mapInArrow(of, "_doc long, _hash long, set binary")
+    found = some.join(wanted, (some["_hash"] == wanted["text_hash"]) & some["_doc"].eqNullSafe(wanted["doc_id"]))
+    return found.select("id", "set").dropDuplicates(["id"])
+
+
+def alike_links(docs: DataFrame, text: str, size: int, own: DataFrame, found: DataFrame, alike: float) -> DataFrame:
+    """Links (a, b) that join all pairs alike to `alike` within each component of found (node,
+    root).  own: id, n (shingles), first.
+
+    A small component is one group, all of whose pairs count.  A larger one is dealt to groups,
+    which all get some rows of it as well; what is outside its largest part after that meets
+    every row of the component.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "id")
+    rows = own.join(both, "id")
+
+    def groups(n, rows):
+        return F.ceil(F.greatest(n / F.lit(GROUP_SHINGLES), rows / F.lit(GROUP_ROWS), F.lit(1.0))).cast("int")
+
+    sums = rows.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    rows = cut(rows.join(sums.select("root", "m", groups(F.col("all"), F.col("m")).alias("dealt")), "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("dealt")).cast("int")))
+    sets = cut(_sets(docs, text, size, rows.select("id", "first.doc_id", "first.text_hash")))
+
+    def links(keyed: DataFrame) -> DataFrame:
+        files = keyed.join(sets, "id").select("key", "id", "set")
+        return files.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_confirm(alike), "a long, b long").where("a != b")
+
+    every = F.sequence(F.lit(0), F.col("dealt") - 1)
+    pivot = F.pmod(F.xxhash64(F.lit(5), "id"), F.col("m")) < PIVOTS
+    near = cut(links(rows.select("id", "root", F.explode(F.when(pivot, every).otherwise(F.array("own"))).alias("at")).select("id", F.xxhash64("root", "at").alias("key"))))
+    large = rows.where("dealt > 1")
+    if not large.limit(1).count():
+        return near
+    part = stars(near).select(F.col("node").alias("id"), F.col("root").alias("part"))
+    large = large.join(part, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    most = large.groupBy("root", "part").count().groupBy("root").agg(F.max(F.struct("count", "part")).alias("p")).select("root", F.col("p.part").alias("_most"))
+    large = cut(large.join(most, "root").withColumn("out", F.col("part") != F.col("_most")))
+    sums = large.where("out").groupBy("root").agg(groups(F.sum("n"), F.count("*")).alias("outs"))
+    large = large.join(sums, "root")
+    outer = large.where("out").select("id", "root", F.pmod(F.xxhash64(F.lit(9), "id"), F.col("outs")).cast("int").alias("i"), F.explode(every).alias("j"))
+    inner = large.select("id", "root", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i"), F.col("own").alias("j"))
+    return near.unionByName(links(outer.unionByName(inner).distinct().select("id", F.xxhash64("root", "i", "j").alias("key"))))
+
+
 def wide_fingerprints(docs: DataFrame, text: str, size: int, words: int) -> DataFrame:
-    """doc_id, text_hash, c_0, c_1, ... of every row."""
-    names = ["doc_id", "text_hash", *[f"c_{i}" for i in range(words)]]
+    """doc_id, text_hash, id (a hash of the set of shingles), n (its size), c_0, c_1, ... of
+    every row."""
+    names = ["doc_id", "text_hash", "id", "n", *[f"c_{i}" for i in range(words)]]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.array([wide_fingerprint(t.as_py(), size, words) for t in batch.column(2)], np.int64).reshape(batch.num_rows, words)
-            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(codes[:, i])) for i in range(words)]], names)
+            sets = [np.unique(shingle_hashes(t.as_py(), size)) for t in batch.column(2)]
+            codes = np.array([wide_code(s, words) for s in sets], np.int64).reshape(batch.num_rows, words)
+            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids), pa.array(list(map(len, sets)), pa.int64()), *[pa.array(np.ascontiguousarray(codes[:, i])) for i in range(words)]], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), text_bytes(text).alias("text"))
     return rows.mapInArrow(of, ", ".join(f"{n} long" for n in names))
 
 
-def keep_one(docs: DataFrame, text: str = "text", size: int = 5, words: int = 4, radius: int = 48) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", size: int = 5, words: int = 4, radius: int = 64, alike: float = 0.8) -> DataFrame:
     """The rows of docs without near duplicates: of each component the row with the smallest
     doc_id stays (rows without one come last); of rows that repeat it, one.
 
-    Fingerprints of 64 * words bits over the different shingles: of two texts whose sets of
-    shingles are alike to 0.8 (Jaccard), 15 % of the bits differ on average, 39 of 256; the
-    radius allows for chance, and pairs alike to 0.5 (27 %) are almost never within it.
+    Two texts link if their sets of shingles are alike to `alike` (Jaccard).  Candidates come
+    from fingerprints of 64 * words bits over the shingles: at 0.8 15 % of the bits differ on
+    average, 39 of 256 with a deviation of 6; the radius allows for chance.  Within each
+    component of candidates the sets themselves decide.
     """
     fps = cut(wide_fingerprints(docs, text, size, words))
     codes = [f"c_{i}" for i in range(words)]
-    own = cut(fps.groupBy(*codes).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("first")).withColumn("id", F.xxhash64(*codes)))
-    links = stars(forest(own.select("id", *codes), Samples(words, radius, own.count())))
+    own = cut(fps.groupBy("id", "n", *codes).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("first")))
+    near = stars(forest(own.select("id", *codes), Samples(words, radius, own.count())))
+    links = stars(alike_links(docs, text, size, own.select("id", "n", "first"), near, alike))
     rooted = own.join(links.withColumnRenamed("node", "id"), "id", "left").select("first", F.coalesce("root", "id").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.text_hash").alias("_of"))
     repeats = fps.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()

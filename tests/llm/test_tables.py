@@ -158,6 +158,46 @@ def test_near_copies_go_and_others_stay(spark, most, monkeypatch):
     assert set(first.values()) <= kept and len(kept) <= 62  # every group stays; a copy or two may be missed
 
 
+def alike_docs():
+    """Texts of 60 bases with copies alike to 0.66 to 0.94, and of one chain of close copies."""
+    draw = np.random.default_rng(12)
+    vocabulary = ["".join(draw.choice(list("abcdefghijk"), draw.integers(2, 9))) for _ in range(4000)]
+    docs = []
+    for g in range(60):
+        base = draw.choice(vocabulary, 250).tolist()
+        for edits in (0, 2, 4, 5, 7, 9, 10):
+            words = list(base)
+            for at in draw.choice(np.arange(6, 240, 6), edits, replace=False):
+                words[at] = f"edit{g}x{edits}x{at}"
+            docs.append((len(docs), " ".join(words)))
+    words = draw.choice(vocabulary, 250).tolist()
+    for at in range(0, 240, 6):
+        words[at] = f"chain{at}"
+        docs.append((len(docs), " ".join(words)))
+    return docs
+
+
+def brute_alike(docs, alike=0.8):
+    sets = []
+    for _, t in docs:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    label = np.arange(len(docs))
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= alike * len(sets[i] | sets[j])]
+    simhash._join(label, np.array([i for i, _ in pairs]), np.array([j for _, j in pairs]))
+    return {docs[i][0] for i in np.unique(label)}
+
+
+@pytest.mark.parametrize("group_rows", [1 << 10, 6])
+def test_links_are_confirmed_by_the_sets(spark, group_rows, monkeypatch):
+    """With groups of 6 rows every component is dealt to several groups."""
+    monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(simhash, "PIVOTS", 32 if group_rows > 6 else 1)
+    docs = alike_docs()
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == brute_alike(docs)
+
+
 # --- substring dedup
 
 
