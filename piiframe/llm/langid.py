@@ -92,6 +92,8 @@ def has_letter(text: str | None) -> bool:
 
 #: Frequencies are scaled by this, so that margins of typical texts are near 1.
 SCALE = 40.0
+#: Share of even chance in a language's profile, so that unseen n-grams have a finite weight.
+EVEN = 0.1
 
 
 def fit_svm(rows: np.ndarray, sign: np.ndarray, cost: float = 10.0, rounds: int = 30, seed: int = 7) -> np.ndarray:
@@ -126,6 +128,8 @@ class Model:
     pairs: list[tuple[int, int, int]] = field(default_factory=list)  # family, two positions in it
     weights: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 0), np.float32))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Of each language, log of how much likelier its texts have a bucket than even chance.
+    profile: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 0), np.float32))
 
     @classmethod
     def fit(cls, langs: list[str], rows: np.ndarray) -> Model:
@@ -146,15 +150,34 @@ class Model:
                 columns.append(fit_svm(rows[own], np.where(labels[own] == members[a], 1.0, -1.0)))
                 pairs.append((f, a, b))
         stacked = np.array(columns).reshape(len(columns), BUCKETS + 1)
-        return cls(families, pairs, np.ascontiguousarray(stacked[:, :-1].T, np.float32), stacked[:, -1])
+        shares = np.stack([rows[labels == x].mean(0, dtype=np.float64) / SCALE for x in sorted(set(langs))], 1)
+        ratio = np.log((1 - EVEN) * shares * BUCKETS + EVEN)
+        profile = ratio / (shares * ratio).sum(0)
+        return cls(families, pairs, np.ascontiguousarray(stacked[:, :-1].T, np.float32), stacked[:, -1], np.ascontiguousarray(profile, np.float32))
+
+    def totals(self, text: str, table: np.ndarray) -> tuple[np.ndarray, int]:
+        total, n = np.zeros(table.shape[1]), 0
+        for part in ngrams(text):
+            total += table[part].sum(0, dtype=np.float64)
+            n += len(part)
+        return total, n
+
+    def assess(self, text: str | None, both: np.ndarray) -> tuple[str, float, float]:
+        """Language, score, and how like the learned texts of the nearest language the n-grams
+        are, whatever the number of labels: 1 for a typical text, 0 or less for letters at even
+        chance.  both: the columns of weights and profile, for one pass."""
+        if not self.families or not has_letter(text):
+            return UNDETERMINED, 0.0, 0.0
+        total, n = self.totals(text, both)
+        heads = self.weights.shape[1]
+        return *self.choose(total[:heads], n), float(total[heads:].max() / max(n, 1))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.families or not has_letter(text):
             return UNDETERMINED, 0.0
-        total, n = np.zeros(self.weights.shape[1]), 0
-        for part in ngrams(text):
-            total += self.weights[part].sum(0, dtype=np.float64)
-            n += len(part)
+        return self.choose(*self.totals(text, self.weights))
+
+    def choose(self, total: np.ndarray, n: int) -> tuple[str, float]:
         margin = total * (SCALE / max(n, 1)) + self.bias
         sure = 1.0 / (1.0 + np.exp(-2.0 * np.clip(margin, -30, 30)))
         heads = 0 if len(self.families) == 1 else 1 if len(self.families) == 2 else len(self.families)
@@ -218,8 +241,8 @@ def learn(labelled: DataFrame, per_lang: int = 400, max_langs: int = 64, seed: i
     return Model.fit([langs[i] for i in order], rows[order])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Add two columns to every row of docs; the whole text counts."""
+def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score", known: str | None = None) -> DataFrame:
+    """Add two columns to every row of docs (three if `known` is named); the whole text counts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x machines, whatever the input's size
 
     @F.pandas_udf("struct<lang: string, score: double>")
@@ -228,8 +251,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
 
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
 
-    both = docs.withColumn("_langid", of(F.col(text)))
-    return both.withColumn(pred, F.col("_langid.lang")).withColumn(score, F.col("_langid.score")).drop("_langid")
+    @F.pandas_udf("struct<lang: string, score: double, known: double>")
+    def of_known(texts):
+        import pandas as pd
+
+        both = np.hstack([shared.value.weights, shared.value.profile])
+        return pd.DataFrame([shared.value.assess(t, both) for t in texts], columns=["lang", "score", "known"])
+
+    found = docs.withColumn("_langid", (of_known if known else of)(F.col(text)))
+    if known:
+        found = found.withColumn(known, F.col("_langid.known"))
+    return found.withColumn(pred, F.col("_langid.lang")).withColumn(score, F.col("_langid.score")).drop("_langid")
 
 
 def identify(docs: DataFrame, per_lang: int = 400, max_langs: int = 64) -> DataFrame:

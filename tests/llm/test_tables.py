@@ -483,3 +483,21 @@ def test_pipeline(spark, sf_dir, clashing, none, documents):
     assert got.groupby("sequence_id").length.sum().max() <= 2048
     kept = corpus_pipeline.near_dedup(spark, documents, sf_dir).select("doc_id", "text").toPandas()
     assert set(kept.doc_id) == set(got.doc_id) and not kept.text.duplicated().any()
+
+
+def test_texts_in_no_learned_language_go(spark, sf_dir, documents):
+    import corpus_pipeline
+
+    draw = np.random.default_rng(3)
+    letters = lambda alphabet, n: "".join(draw.choice(list(alphabet + "    "), n))
+    foreign = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神互相对待",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem",
+        "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق",
+        *[letters("abcdefghijklmnopqrstuvwxyz", n) for n in (60, 300, 3000)],
+        *[letters("абвгдежзийклмнопрстуфхцчшщъыьэюя", n) for n in (60, 300, 3000)],
+    ]
+    more = spark.createDataFrame([(10**9 + i, t, None, "x", len(t)) for i, t in enumerate(foreign)], documents.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, documents.unionByName(more), sf_dir).collect()}
+    assert kept == {r["doc_id"] for r in documents.collect()}
