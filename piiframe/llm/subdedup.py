@@ -3,7 +3,9 @@
 A gear rolling hash over the last 16 bytes proposes cuts, which move to the next white space
 (or character), so that equal passages get equal chunks wherever they stand.  A chunk that an
 earlier document has (smaller doc_id), or that its own document has before, is a repeat; runs
-of repeats that hold at least `min_words` words are taken out, shorter ones stay.
+of repeats that hold at least `min_words` words are taken out, shorter ones stay.  In scripts
+written without spaces two or five characters count as a word, and a piece without white space
+that is as long as `min_words` typical words goes as well.
 
 Defined results: a null text stays null, an empty one empty.  Documents without doc_id are
 last in order and are not compared with one another.  Rows that share a doc_id are one
@@ -13,6 +15,7 @@ have names that start with an underscore and two letters, and are dropped.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -29,6 +32,24 @@ EVERY = 30
 LEAST, MOST = 8, 256
 #: A cut moves at most so far to white space.
 REACH = 24
+#: Bytes of a typical word and its space.
+WORD = 6.4
+#: Scripts without spaces: ideographs, kana and Yi, of which a word takes some 2 characters; Thai,
+#: Lao, Tibetan, Burmese, Khmer, Tai Lue and Tai Tham, of which it takes some 5.
+SHORT = re.compile("[\u2e80-\u312f\u3190-\ua4cf\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+LONG = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\ua9e0-\ua9ff\uaa60-\uaadf]")
+
+
+def long_enough(data: bytes, min_words: int) -> bool:
+    """Whether data holds `min_words` words, or as much text written without spaces."""
+    pieces = data.split()
+    if len(pieces) >= min_words or max(map(len, pieces), default=0) >= WORD * min_words:
+        return True
+    if data.isascii():
+        return False
+    text, short = SHORT.subn(" ", data.decode("utf-8", "replace"))
+    text, long = LONG.subn(" ", text)
+    return bool(short or long) and len(text.split()) + short / 2 + long / 5 >= min_words
 
 
 def cuts(data: bytes) -> np.ndarray:
@@ -125,7 +146,7 @@ def remove(data: bytes, seen: set[int], min_words: int) -> tuple[bytes, list[tup
                 runs.append([start, end, 1])
         own.add(digest)
         start = end
-    out = [(a, b, n) for a, b, n in runs if len(data[a:b].split()) >= min_words]
+    out = [(a, b, n) for a, b, n in runs if long_enough(data[a:b], min_words)]
     kept, at = [], 0
     for a, b, _ in out:
         kept.append(data[at:a])

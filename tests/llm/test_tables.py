@@ -290,6 +290,29 @@ def test_planted_passages_go_and_the_rest_stays(spark):
             assert passages[i % 20] not in out[i] and 0.5 * len(passages[i % 20]) < gone <= len(passages[i % 20]) + 24
 
 
+@pytest.mark.parametrize("first, last, gap", [(0x4E00, 0x9000, 0), (0x3041, 0x3096, 0), (0x0E01, 0x0E2E, 0), (0x0E01, 0x0E2E, 20), (0x4E00, 0x9000, 25), (97, 122, 0)])
+def test_unspaced_passages_go(spark, first, last, gap):
+    """Chinese, Japanese, Thai (with and without spaces between phrases) and long strings."""
+    draw = np.random.default_rng(first + gap)
+
+    def text(n):
+        whole = "".join(map(chr, draw.integers(first, last + 1, n)))
+        return " ".join(whole[i : i + gap] for i in range(0, n, gap)) if gap else whole
+
+    passage = text(200)
+    docs = [(1, text(300) + passage + text(200)), (2, text(250) + passage + text(300)), (3, text(400)), (4, text(500)), (5, "")]
+    docs[4] = (5, docs[3][1])
+    out = {r["doc_id"]: r["text"] for r in subdedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [out[i] for i in (1, 3, 4)] == [t for i, t in docs if i in (1, 3, 4)]
+    assert out[5] == "" and passage not in out[2] and 0.5 * len(passage) < len(docs[1][1]) - len(out[2]) <= len(passage) + 24
+
+
+def test_what_is_long_enough():
+    yes = ["w " * 15, "字" * 30, "字" * 20 + " w" * 5, "ก" * 75, "x" * 96]
+    no = ["w " * 14, "字" * 29, "字" * 10 + " w" * 9, "x" * 95, "é" * 40, "한국 " * 14, ""]
+    assert all(subdedup.long_enough(t.encode(), 15) for t in yes) and not any(subdedup.long_enough(t.encode(), 15) for t in no)
+
+
 # --- packing
 
 
