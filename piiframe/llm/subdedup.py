@@ -8,8 +8,8 @@ written without spaces two or five characters count as a word, and a piece witho
 that is as long as `min_words` typical words goes as well.
 
 Defined results: a null text stays null, an empty one empty.  Documents without doc_id are
-last in order and are not compared with one another.  Rows that share a doc_id are one
-document: each keeps what is first in it.  Extra columns stay as they are; working columns
+last in order and are compared with no other document, so only their own repeats go.  Rows
+that share a doc_id are one document: each keeps what is first in it.  Extra columns stay as they are; working columns
 have names that start with an underscore and two letters, and are dropped.
 """
 
