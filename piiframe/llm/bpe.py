@@ -2,10 +2,12 @@
 
 Pretokens that the cache lacks are encoded together: those of near length share a matrix with
 one row each; in each round every row merges its leftmost pair of least rank, which a hashed
-table of pairs gives, and rows move together over the gap (and leave when nothing merges).
+table of pairs gives, and rows move together over the gap (and leave when nothing merges).  A
+long pretoken is a matrix of one row, in which a round merges the places of the least pair from
+left to right, up to one that makes a pair of smaller rank: the same merges in the same order.
 
 Defined results: a null text counts as empty and gives no ids; a null doc_id is kept.
-Repeated rows get equal results.  Only doc_id and the text are read, so other columns cannot
+Repeated rows get equal results; an empty table gives no rows.  Only doc_id and the text are read, so other columns cannot
 clash.
 """
 
@@ -13,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import slices, small_batches, text_bytes
 from .packing import vocabulary_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NONE = np.int32(2**31 - 1)
-#: Pretokens over this many bytes are merged one at a time with a heap instead.
+#: Pretokens over this many bytes are matrices of one row.
 LONG = 256
 
 
@@ -89,34 +90,40 @@ class BytePairEncoder:
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
                     pairs[left, right] = rank
-        self.pairs, self.table = pairs, PairTable(pairs)
+        self.table = PairTable(pairs)
+        #: Of each token, the least rank of a pair that it is in.
+        self.least = np.full(max(ranks.values()) + 1, NONE, np.int32)
+        for (left, right), rank in pairs.items():
+            self.least[left], self.least[right] = min(self.least[left], rank), min(self.least[right], rank)
         self.token = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.token[rank] = token
         self.cache: dict[str, bytes] = {}
         self.cached = cached
 
-    def merge_long(self, piece: bytes) -> list[int]:
-        """The same merges with a heap over (rank, place), for one long pretoken."""
-        ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] >= 0 else n
-            if j >= n or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], ids[j] = rank, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := self.pairs.get((rank, ids[after[i]]))) is not None:
-                    heapq.heappush(heap, (r, i, rank, ids[after[i]]))
-            if (k := before[i]) >= 0 and (r := self.pairs.get((ids[k], rank))) is not None:
-                heapq.heappush(heap, (r, k, ids[k], rank))
-        return [x for x in ids if x >= 0]
+    def merge_row(self, piece: bytes) -> bytes:
+        """Ids (little-endian, 32 bits) of one long piece."""
+        ids = self.byte_id[np.frombuffer(piece, np.uint8)]
+        rank = self.table.get(ids[:-1], ids[1:])
+        while len(rank) and (best := rank.min()) != NONE:
+            at = np.flatnonzero(rank == best)
+            if len(at) > 1:  # of places that follow one another, the first, third, ... merge
+                each = np.arange(len(at))
+                first = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, each, 0))
+                at = at[(each - first) % 2 == 0]
+            if self.least[best] < best and len(at) > 1:
+                before = np.where(np.diff(at, prepend=-9) == 2, best, ids[at - 1])
+                before[at == 0] = -1
+                after = np.append(ids, -1)[at + 2]
+                merged = np.full(len(at), best)
+                smaller = np.flatnonzero((self.table.get(before, merged) < best) | (self.table.get(merged, after) < best))
+                at = at[: smaller[0] + 1 if len(smaller) else None]
+            ids[at] = best
+            ids, rank = np.delete(ids, at + 1), np.delete(rank, at)
+            at = at - np.arange(len(at))
+            for near in (at[at < len(rank)], at[at > 0] - 1):
+                rank[near] = self.table.get(ids[near], ids[near + 1])
+        return ids.astype("<i4").tobytes()
 
     def merge_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Ids (little-endian, 32 bits) of pieces of 2 to `width` bytes, one matrix row each."""
@@ -160,7 +167,7 @@ class BytePairEncoder:
             if whole is not None:
                 out[i] = whole.to_bytes(4, "little")
             elif len(p) > LONG:
-                out[i] = np.array(self.merge_long(p), "<u4").tobytes()
+                out[i] = self.merge_row(p)
             else:
                 buckets.setdefault(4 * -(-len(p) // 4) if len(p) <= 32 else 1 << (len(p) - 1).bit_length(), []).append(i)
         for width, members in buckets.items():
@@ -227,6 +234,7 @@ def _through(docs: DataFrame, vocabulary: str, pattern: str | None, text: str, d
             else:
                 yield pa.record_batch([batch.column(0), pa.array([np.frombuffer(x, "<i4") for x in found], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(of, schema)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,11 +20,13 @@ BATCH_BYTES = str(6 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that spark.checkpoint.dir names, or the one set for checkpoints.  Where both are
+    unset, a folder of our own if all runs on this machine (tests); on a cluster that would be
+    out of the executors' sight, so it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="piiframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -29,10 +34,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python workers some megabytes at a time, whatever their lengths: rows of long
-    texts would else make batches that a small executor cannot hold twice."""
+    texts would else make batches that a small executor cannot hold twice.  Spark reads the
+    setting when a plan is run, so it stays set for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+@contextmanager
+def own_folder(spark: SparkSession, name: str):
+    """A new folder in the shared one, deleted when the block ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    try:
+        yield path.toString()
+    finally:
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for working columns that no column of df has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder, so that a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -5,8 +5,8 @@ support vector machines tell the languages of that family apart.
 
 Defined results: a null text, or one without a letter, gets ``und`` and score 0; so does
 every text when no labelled row can be learned from.  Repeated rows get equal results.  A
-null doc_id counts as not held out and is not learned from.  Other columns are not read,
-so their names cannot clash.
+null doc_id counts as not held out and is not learned from.  An empty table gives no rows.  Other
+columns are not read, and stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import small_batches, unused
+
 UNDETERMINED = "und"
 BUCKETS = 1 << 13
 #: Characters handled at once, so that a very long text needs little memory.
@@ -205,13 +207,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(labelled: DataFrame, per_lang: int = 400, max_langs: int = 64, seed: int = 11) -> Model:
-    """Fit on a bounded sample: of each of the `max_langs` commonest languages, the `per_lang`
-    rows whose seeded hash of doc_id is smallest.  labelled: doc_id, text, lang."""
+def learn(labelled: DataFrame, per_lang: int = 400, rows: int = 4096, seed: int = 11) -> Model:
+    """Fit on a bounded sample of labelled rows: of every language the `per_lang` rows whose
+    seeded hash of doc_id is smallest, or fewer of each (but 8) where the languages are so many
+    that this would make over `rows` in all.  labelled: doc_id, text, lang."""
+    small_batches(labelled.sparkSession)
     source = labelled.select(F.col("doc_id"), F.col("text"), F.col("lang"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_h")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    found = source.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    found = source.groupBy("lang").count().collect()  # a row for each label
     if not found:
         return Model()
+    per_lang = min(per_lang, max(8, rows // len(found)))
     # Hashes spread evenly, so a limit on the hash leaves a small multiple of per_lang rows to rank.
     spread = {r["lang"]: min(1.0, (2.0 * per_lang + 50) / r["count"]) for r in found}
     limit = F.create_map(*[F.lit(x) for k, v in spread.items() for x in (k, int(-(2**63) + v * (2**64 - 1)) if v < 1 else 2**63 - 1)])
@@ -243,7 +248,9 @@ def learn(labelled: DataFrame, per_lang: int = 400, max_langs: int = 64, seed: i
 
 def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score", known: str | None = None) -> DataFrame:
     """Add two columns to every row of docs (three if `known` is named); the whole text counts."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x machines, whatever the input's size
+    made = unused(docs, "langid")[0]
 
     @F.pandas_udf("struct<lang: string, score: double>")
     def of(texts):
@@ -258,15 +265,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
         both = np.hstack([shared.value.weights, shared.value.profile])
         return pd.DataFrame([shared.value.assess(t, both) for t in texts], columns=["lang", "score", "known"])
 
-    found = docs.withColumn("_langid", (of_known if known else of)(F.col(text)))
+    found = docs.withColumn(made, (of_known if known else of)(F.col(text)))
     if known:
-        found = found.withColumn(known, F.col("_langid.known"))
-    return found.withColumn(pred, F.col("_langid.lang")).withColumn(score, F.col("_langid.score")).drop("_langid")
+        found = found.withColumn(known, F.col(f"{made}.known"))
+    return found.withColumn(pred, F.col(f"{made}.lang")).withColumn(score, F.col(f"{made}.score")).drop(made)
 
 
-def identify(docs: DataFrame, per_lang: int = 400, max_langs: int = 64) -> DataFrame:
+def identify(docs: DataFrame, per_lang: int = 400, rows: int = 4096) -> DataFrame:
     """Learn from the labelled rows that are not held out, and predict every row:
     doc_id, held_out, lang_pred, score."""
-    model = learn(docs.where(~held_out(F.col("doc_id"))), per_lang, max_langs)
+    model = learn(docs.where(~held_out(F.col("doc_id"))), per_lang, rows)
     out = predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import slices, small_batches, text_bytes
 
 RATE = 8000
 BLOCK = 64
@@ -119,12 +119,12 @@ def features(payload: bytes) -> np.ndarray:
     return pairs(*peaks(np.frombuffer(payload, np.uint8)))
 
 
-COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pairs long"
+COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pairs long, pairs array<long>, media binary"
 
 
-def columns(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFrame:
-    """One row per document; feature is the SHA-256 of the fingerprint array.  With keep, the
-    WAV and the fingerprint themselves come as columns media and pairs."""
+def columns(docs: DataFrame, text: str = "text", keep: bool = True) -> DataFrame:
+    """One row per document: digests, the fingerprint as the time-coded array `pairs` (its SHA-256
+    is `feature`), and the WAV itself as `media` (null unless keep)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
@@ -133,12 +133,11 @@ def columns(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFram
                 media = store(padded(data))
                 back = read(media)
                 found = features(back)
-                row = (doc, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), hashlib.sha256(found.astype("<i8").tobytes()).hexdigest(), len(found))
-                rows.append((*row, media, found) if keep else row)
+                rows.append((doc, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), hashlib.sha256(found.astype("<i8").tobytes()).hexdigest(), len(found), found, media if keep else None))
             schema = pa.schema([(n, t) for n, t in zip(names, types)])
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], schema=schema)
 
-    names = [x.split()[0] for x in COLUMNS.split(", ")] + ["media", "pairs"] * keep
-    types = [pa.string() if "string" in x else pa.int64() for x in COLUMNS.split(", ")] + [pa.binary(), pa.list_(pa.int64())] * keep
-    schema = COLUMNS + ", media binary, pairs array<long>" * keep
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(of, schema)
+    small_batches(docs.sparkSession)
+    names, kinds = zip(*[x.split() for x in COLUMNS.split(", ")])
+    types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[k] for k in kinds]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(of, COLUMNS)

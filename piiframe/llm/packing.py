@@ -1,12 +1,14 @@
 """Packing token streams into fixed-length sequences by first-fit decreasing.
 
-Documents are cut into pieces of at most one sequence; seeded-random groups of pieces are
+Documents are cut into pieces of at most one sequence; seeded-random groups of documents are
 packed independently.  In a group, pieces go longest first into the first bin with room, which
 a tournament tree over the bins' free room finds in logarithmic time.
 
 Defined results: a null or empty text is the end id alone (one piece).  A null doc_id is kept
-as null.  Repeated rows are packed as often as they stand there.  An empty table gives no
-rows.  Only doc_id and the text are read, so other columns cannot clash.
+as null.  Repeated rows are packed as often as they stand there, each in a group of its own
+drawing, so that they do not meet in one.  An empty table gives no rows.  Only doc_id and the
+text are read, so other columns cannot clash.  Which documents share a group depends on their
+place in the table's partitions, and on nothing else.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_bytes
+from .common import cut, slices, small_batches, text_bytes
 
 #: A vocabulary file; the name of an installed public one, or a path.
 VOCABULARY = "word_bpe_49k.json"
@@ -123,12 +125,16 @@ def tokenizer(vocabulary: str) -> WordTokenizer:
 
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, room: int = 2048, end_id: int = 1, text: str = "text") -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: every document's ids and the end id, cut
-    into pieces of `room` ids and a rest."""
+    """doc_id, start, length, ids_crc32, doc_tokens, place: every document's ids and the end id,
+    cut into pieces of `room` ids and a rest.  place numbers the rows: partition and row in it."""
     end = int(end_id).to_bytes(4, "little")
+    small_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         encode = tokenizer(vocabulary).encode
+        place = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 1, 2 << 20):
             out: list[tuple] = []
             ids = encode([str(t, "utf-8", "replace") for t in batch.column(1).to_pylist()])
@@ -137,10 +143,11 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, room: int = 2048, end_
                 n = len(got) // 4
                 for at in range(0, n, room):
                     part = got[4 * at : 4 * (at + room)]
-                    out.append((doc, at, len(part) // 4, zlib.crc32(part), n))
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    out.append((doc, at, len(part) // 4, zlib.crc32(part), n, place))
+                place += 1
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(of, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(of, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long")
 
 
 class Tournament:
@@ -176,16 +183,16 @@ def first_fit_decreasing(lengths: list[int], room: int) -> tuple[list[int], list
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, room: int = 2048, end_id: int = 1, group: int = 1 << 14, seed: int = 3, text: str = "text") -> DataFrame:
-    """Pieces with sequence_id and offset.  About `group` pieces are packed together; the
-    groups are drawn by a seeded hash of each piece's own place and ids."""
+    """Pieces with sequence_id and offset.  Documents of about `group` pieces in all are packed
+    together; a seeded hash of a document's place draws its group."""
     parts = cut(pieces(docs, vocabulary, room, end_id, text))
     groups = max(1, -(-parts.count() // group))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "place", "start"], ascending=[False, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(pdf["length"].tolist(), room)
         return pdf[columns].assign(sequence_id=np.array(bins, np.int64) * groups + pdf["group"].to_numpy(), offset=np.array(offsets, np.int64)).astype({"doc_id": "Int64"})
 
-    drawn = parts.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]), F.lit(groups)))
+    drawn = parts.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "place"), F.lit(groups)))
     return drawn.groupBy("group").applyInPandas(packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

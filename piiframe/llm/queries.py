@@ -21,7 +21,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.columns(table(spark, sf_dir, "documents"))
+    return media.columns(table(spark, sf_dir, "documents"), keep=False).drop("media")
 
 
 def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"), per_lang=400)
+    return langid.identify(table(spark, sf_dir, "documents"), per_lang=400, rows=4096)
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ WITH w AS (
   SELECT *, list_concat(list_concat(gpl, apache), list_concat(ccby, mit)) AS places,
     list_concat(list_concat(CASE WHEN len(apache) > 0 THEN ['apache'] ELSE [] END, CASE WHEN len(ccby) > 0 THEN ['cc-by'] ELSE [] END),
                 list_concat(CASE WHEN len(gpl) > 0 THEN ['gpl'] ELSE [] END, CASE WHEN len(mit) > 0 THEN ['mit'] ELSE [] END)) AS base,
-    [t.name FOR t IN [{templates}] IF regexp_matches(line, t.pattern)] AS found
+    [t FOR t IN [{templates}] IF t IS NOT NULL] AS found
   FROM p
 )
 SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
@@ -112,7 +112,7 @@ def _license_sql() -> str:
             at = m.end()
             out += {"beginOptional": "(?:", "endOptional": ")?"}.get(m[1]) or f"(?:[^ ]+ ){{0,{m[2].rpartition('max=')[2]}}}"
 
-    each = [f"{{'name': '{label}', 'pattern': '{pattern(markup)}'}}" for label, markups in licenses.TEMPLATES.items() for markup in markups]
+    each = [f"CASE WHEN regexp_matches(line, '{pattern(markup)}') THEN '{label}' END" for label, markups in licenses.TEMPLATES.items() for markup in markups]
     return _LICENSE_SQL.replace("{templates}", ", ".join(each))
 
 

@@ -6,7 +6,7 @@ order of their fractional ranks are cut into runs of equal length, so that every
 each source's share of the rows.  The law is `rows`: shard counts differ by one at most.
 
 No sort or window takes in more than a bucket of rows: a hash bucket within a source, then a
-cell of the fractional rank; counts of buckets and cells give each its start.  Only ids, sizes,
+cell of the fractional rank; counts of buckets and cells, summed in two steps, give each its start.  Only ids, sizes,
 checksums and the source travel, never the text.
 
 Defined results: null and empty sources are two strata of their own; a null text has size 8
@@ -27,10 +27,16 @@ from .common import cut
 BUCKET_ROWS = 2_000
 
 
-def _starts(counts: DataFrame, within: list[str], by: str) -> DataFrame:
-    """For each row of counts (n), how many rows the smaller `by` of its group hold."""
-    w = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)))
+def _starts(counts: DataFrame, within: list[str], by: str, step: int = 1024) -> DataFrame:
+    """For each row of counts (n), how many rows the smaller `by` of its group hold.  Sums of
+    `step` neighbours are summed up first, so that no window takes in more of the counts than
+    `step`, or one `step`-th of them."""
+    part = counts.withColumn("part", F.expr(f"{by} div {step}"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = part.groupBy(*within, "part").agg(F.sum("n").alias("n"))
+    parts = parts.withColumn("first", before(Window.partitionBy(*within).orderBy("part"))).drop("n")
+    inner = part.withColumn("inner", before(Window.partitionBy(*within, "part").orderBy(by)))
+    return inner.join(parts, [*within, "part"]).withColumn("start", F.col("first") + F.col("inner")).drop("part", "first", "inner")
 
 
 def interleave(docs: DataFrame, shards: int = 24, seed: int = 17, source: str = "source", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -49,8 +55,8 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 17, source: str =
 
     # 1. rank within the source, and from it the fractional rank
     counts = rows.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
-    of = Window.partitionBy("stratum")
-    starts = _starts(counts, ["stratum"], "bucket").withColumn("whole", F.sum("n").over(of)).drop("n")
+    whole = counts.groupBy("stratum").agg(F.sum("n").alias("whole"))
+    starts = _starts(counts, ["stratum"], "bucket").join(whole, "stratum").drop("n")
     order = ["drawn", "doc_id", "text_crc32", "size"]
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy(*order)))
     ranked = ranked.join(starts, ["stratum", "bucket"])

@@ -1,21 +1,23 @@
 """Substring deduplication by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes proposes cuts, which move to the next white space
-(or character), so that equal passages get equal chunks wherever they stand.  A chunk that an
-earlier document has (smaller doc_id), or that its own document has before, is a repeat; runs
-of repeats that hold at least `min_words` words are taken out, shorter ones stay.  In scripts
-written without spaces two or five characters count as a word, and a piece without white space
-that is as long as `min_words` typical words goes as well.
+(or character), so that equal passages get equal chunks wherever they stand.  From each chunk
+on, and up to each chunk, the fewest neighbouring chunks that hold a passage of `min_words`
+words are a window, and get a digest.  A window that an earlier document has whole (smaller doc_id), or that its own
+document has whole before it, is a repeat, and its chunks are taken out.  So all that goes
+stands in a passage of that length in one earlier place; chunks that are known from different
+places stay.  Lengths are counted in characters, `WORD` to a word; those of scripts written
+without spaces count as more.
 
 Defined results: a null text stays null, an empty one empty.  Documents without doc_id are
 last in order and are compared with no other document, so only their own repeats go.  Rows
-that share a doc_id are one document: each keeps what is first in it.  Extra columns stay as they are; working columns
-have names that start with an underscore and two letters, and are dropped.
+that share a doc_id are one document: each keeps what is first in it.  Extra columns stay as
+they are, whatever their names; of the three new columns, those that docs has already are left
+out.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import small_batches, text_bytes, unused
 
 GEAR = np.array([int.from_bytes(blake2b(bytes([i]), digest_size=2, person=b"gear").digest(), "little") for i in range(256)], np.uint16)
 #: One in so many places is proposed as a cut.
@@ -32,24 +34,14 @@ EVERY = 30
 LEAST, MOST = 8, 256
 #: A cut moves at most so far to white space.
 REACH = 24
-#: Bytes of a typical word and its space.
+#: Characters of a typical word and its space.
 WORD = 6.4
-#: Scripts without spaces: ideographs, kana and Yi, of which a word takes some 2 characters; Thai,
-#: Lao, Tibetan, Burmese, Khmer, Tai Lue and Tai Tham, of which it takes some 5.
-SHORT = re.compile("[\u2e80-\u312f\u3190-\ua4cf\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
-LONG = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\ua9e0-\ua9ff\uaa60-\uaadf]")
-
-
-def long_enough(data: bytes, min_words: int) -> bool:
-    """Whether data holds `min_words` words, or as much text written without spaces."""
-    pieces = data.split()
-    if len(pieces) >= min_words or max(map(len, pieces), default=0) >= WORD * min_words:
-        return True
-    if data.isascii():
-        return False
-    text, short = SHORT.subn(" ", data.decode("utf-8", "replace"))
-    text, long = LONG.subn(" ", text)
-    return bool(short or long) and len(text.split()) + short / 2 + long / 5 >= min_words
+#: Characters that a character counts for, by its first byte in UTF-8: ideographs and kana take
+#: some two to a word, Hangul syllables some three with their space; later bytes count nothing.
+UNITS = np.ones(256, np.int64)
+UNITS[0x80:0xC0] = 0
+UNITS[0xE3:0xEA] = UNITS[0xF0:0xF8] = 3
+UNITS[0xEA:0xEE] = 2
 
 
 def cuts(data: bytes) -> np.ndarray:
@@ -94,72 +86,83 @@ def cuts(data: bytes) -> np.ndarray:
     return ends
 
 
-def chunks(data: bytes) -> tuple[list[int], list[bytes]]:
-    """Ends, and 16-byte digests, of the chunks."""
-    ends = cuts(data).tolist()
-    return ends, [blake2b(data[a:b], digest_size=16).digest() for a, b in zip([0, *ends], ends)]
-
-
-def _digests(docs: DataFrame, text: str) -> DataFrame:
-    """_id, _d1, _d2: each document's different chunks."""
+def windows(data: bytes, min_words: int) -> tuple[list[int], list[tuple[int, int]], list[bytes]]:
+    """Ends of the chunks; the windows (first chunk, and the one after the last) in order; and
+    their 16-byte digests.  In a run of chunks that is long enough, each chunk is in a window
+    of the run: one that starts with it, or else one that ends where the run does."""
+    ends = cuts(data)
+    if not len(ends):
+        return [], [], []
+    n, least = len(ends), WORD * min_words
+    held = np.append(0, np.cumsum(UNITS[np.frombuffer(data, np.uint8)])[ends - 1])
+    last = np.searchsorted(held, held[:-1] + least)
+    first = np.searchsorted(held, held[1:] - least, side="right") - 1
+    ahead, back = np.flatnonzero(last <= n), np.flatnonzero(first >= 0)
+    code = np.unique(np.concatenate([ahead * (n + 1) + last[ahead], first[back] * (n + 1) + back + 1]))
+    found = list(zip((code // (n + 1)).tolist(), (code % (n + 1)).tolist()))
+    at = ends.tolist()
+    starts = [0, *at]
+    return at, found, [blake2b(data[starts[i] : starts[j]], digest_size=16).digest() for i, j in found]
+
+
+def _digests(docs: DataFrame, text: str, min_words: int) -> DataFrame:
+    """id, d1, d2: each document's different windows."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, count, found = batch.column(0), [], []
             for t in batch.column(1):
-                own = dict.fromkeys(chunks(t.as_py())[1])
+                own = dict.fromkeys(windows(t.as_py(), min_words)[2])
                 count.append(len(own))
                 found.extend(own)
             halves = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
             owner = pa.array(np.repeat(np.arange(len(count)), count))
-            yield pa.record_batch([ids.take(owner), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))], ["_id", "_d1", "_d2"])
+            yield pa.record_batch([ids.take(owner), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))], ["id", "d1", "d2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), text_bytes(text).alias("_t")).mapInArrow(of, "_id long, _d1 long, _d2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes(text).alias("t")).mapInArrow(of, "id long, d1 long, d2 long")
 
 
-def seen_earlier(docs: DataFrame, text: str = "text") -> DataFrame:
-    """_id, _seen: of each document, the (first halves of) digests that an earlier one has.
+def seen_earlier(docs: DataFrame, text: str = "text", min_words: int = 15) -> DataFrame:
+    """id, seen: of each document, the (first halves of) digests that an earlier one has.
 
     A digest's documents are counted by partial sums before the shuffle; the join with the
     repeated digests is one that adaptive execution can split where a digest is hot.
     """
-    every = _digests(docs, text)
-    last = F.lit(2**63 - 1)
-    repeated = every.groupBy("_d1", "_d2").agg(F.min(F.coalesce("_id", last)).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    late = every.join(repeated, ["_d1", "_d2"]).where(F.col("_id") > F.col("_first"))
-    return late.groupBy("_id").agg(F.collect_set("_d1").alias("_seen"))
+    every = _digests(docs.where(F.col("doc_id").isNotNull()), text, min_words)
+    repeated = every.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    late = every.join(repeated, ["d1", "d2"]).where(F.col("id") > F.col("first"))
+    return late.groupBy("id").agg(F.collect_set("d1").alias("seen"))
 
 
 def remove(data: bytes, seen: set[int], min_words: int) -> tuple[bytes, list[tuple[int, int]], int, int]:
     """What is left of data, the spans (bytes) taken out, the number of chunks and of those
     taken out."""
-    ends, digests = chunks(data)
-    own: set[bytes] = set()
-    runs: list[list[int]] = []
-    start = 0
-    for end, digest in zip(ends, digests):
-        if digest in own or int.from_bytes(digest[:8], "little", signed=True) in seen:
-            if runs and runs[-1][1] == start:
-                runs[-1][1] = end
-                runs[-1][2] += 1
+    ends, found, digests = windows(data, min_words)
+    own: dict[bytes, int] = {}
+    runs: list[list[int]] = []  # of chunks
+    for (i, j), digest in zip(found, digests):
+        if int.from_bytes(digest[:8], "little", signed=True) in seen or own.setdefault(digest, j) <= i:
+            if runs and i <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], j)
             else:
-                runs.append([start, end, 1])
-        own.add(digest)
-        start = end
-    out = [(a, b, n) for a, b, n in runs if long_enough(data[a:b], min_words)]
+                runs.append([i, j])
+    starts = [0, *ends]
+    spans = [(starts[i], starts[j]) for i, j in runs]
     kept, at = [], 0
-    for a, b, _ in out:
+    for a, b in spans:
         kept.append(data[at:a])
         at = b
-    return b"".join([*kept, data[at:]]), [(a, b) for a, b, _ in out], len(ends), sum(n for _, _, n in out)
+    return b"".join([*kept, data[at:]]), spans, len(ends), sum(j - i for i, j in runs)
 
 
 def dedup(docs: DataFrame, text: str = "text", min_words: int = 15) -> DataFrame:
     """All columns and rows of docs, with repeats taken out of the text, and three more
     columns: cut_spans (start and end bytes in the old text), n_chunks, n_cut."""
+    small_batches(docs.sparkSession)
     names = docs.columns
-    seen = seen_earlier(docs, text).withColumnRenamed("_id", "_key")
-    both = docs.withColumn("_id", F.col("doc_id").cast("long")).join(seen, F.col("_id") == F.col("_key"), "left").drop("_id", "_key")
+    key, seen, out = unused(docs, "key", "seen", "out")
+    earlier = seen_earlier(docs, text, min_words).toDF(key, seen)
+    both = docs.join(earlier, docs["doc_id"].cast("long") == earlier[key], "left")
 
     @F.pandas_udf("struct<text: string, cut_spans: array<struct<start: long, end: long>>, n_chunks: long, n_cut: long>")
     def of(texts, seens):
@@ -174,6 +177,6 @@ def dedup(docs: DataFrame, text: str = "text", min_words: int = 15) -> DataFrame
             rows.append((str(left, "utf-8", "replace"), [{"start": a, "end": b} for a, b in spans], n, gone))
         return pd.DataFrame(rows, columns=["text", "cut_spans", "n_chunks", "n_cut"])
 
-    done = both.withColumn("_out", of(F.col(text).cast("binary"), F.col("_seen")))
-    kept = [F.col("_out.text").alias(c) if c == text else F.col(c) for c in names]
-    return done.select(*kept, *[F.col(f"_out.{c}").alias(c) for c in ("cut_spans", "n_chunks", "n_cut") if c not in names])
+    done = both.withColumn(out, of(F.col(text).cast("binary"), F.col(seen)))
+    kept = [F.col(f"{out}.text").alias(c) if c == text else F.col(f"`{c}`") for c in names]
+    return done.select(*kept, *[F.col(f"{out}.{c}").alias(c) for c in ("cut_spans", "n_chunks", "n_cut") if c not in names])

@@ -32,8 +32,20 @@ def clashing(odd):
     """Columns with the names that operators use for themselves."""
     from pyspark.sql import functions as F
 
-    names = ["fp", "key", "block", "stratum", "bucket", "group", "root", "score", "lang_pred", "_out", "ids", "start", "length", "n_chunks", "cell", "way"]
-    return odd.select("*", *[F.lit("x").alias(n) for n in names])
+    return odd.select("*", *[F.lit("x").alias(n) for n in working_names()])
+
+
+def working_names():
+    """Every lower-case name in quotes in the source of the operators, and some that other stores
+    use, but the columns that are read."""
+    import pathlib
+    import re
+
+    source = pathlib.Path(__file__).parents[2]
+    found = {"_id", "_seen", "_key", "_hash", "_out", "_t", "_lang_pred", "_lang_score", "_langid", "_first"}
+    for path in [*(source / "piiframe/llm").glob("*.py"), source / "corpus_pipeline.py"]:
+        found |= {n for n in re.findall(r"[\"']([a-z_][a-z0-9_]{0,20})[\"']", path.read_text())}
+    return sorted(found - {"doc_id", "text", "lang", "source", "n_chars"})
 
 
 @pytest.fixture(scope="session")
