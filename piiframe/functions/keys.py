@@ -83,9 +83,22 @@ def hmac_pads(master: str) -> tuple[str, str]:
 
 
 def aes_key(secret: str) -> str:
-    """32 bytes as hex: a url-safe base64 key of that length as it is, else a hash of the secret."""
+    """The 32 bytes of a url-safe base64 key as hex; anything else is an error, since a mistyped
+    key would silently be another key."""
     try:
-        raw = base64.urlsafe_b64decode(secret.encode())
+        raw = b"" if set("+/") & set(secret) else base64.b64decode(secret.encode(), altchars=b"-_", validate=True)
     except ValueError:
         raw = b""
-    return (raw if len(raw) == 32 else hashlib.sha256(secret.encode()).digest()).hex()
+    if len(raw) != 32:
+        raise ValueError("an encryption key is 32 bytes in url-safe base64; from_passphrase makes one of other text")
+    return raw.hex()
+
+
+def from_passphrase(text: str) -> str:
+    """An encryption key made from any text."""
+    return base64.urlsafe_b64encode(hashlib.sha256(text.encode()).digest()).decode()
+
+
+def new_key() -> str:
+    """A random encryption key."""
+    return base64.urlsafe_b64encode(os.urandom(32)).decode()

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .keys import hmac_pads
+from .names import let
 
 # The white space that stripping removes.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
@@ -32,7 +33,11 @@ def strip(c: Column) -> Column:
 
 def classify(c: Column) -> Column:
     """email, phone, ssn, card, routing or opaque, of the stripped value."""
-    v, out = strip(c), None
+    return let(strip(c), _class)
+
+
+def _class(v: Column) -> Column:
+    out = None
     for name, pattern in CLASSES.items():
         # `$` would also match before a line end; no class holds one at its end once stripped
         test = v.rlike(pattern)
@@ -42,9 +47,13 @@ def classify(c: Column) -> Column:
 
 def digest(c: Column, master: str) -> Column:
     """HMAC-SHA256 of the stripped value under the master key, 64 hex digits."""
+    return _hmac(strip(c), master)
+
+
+def _hmac(v: Column, master: str) -> Column:
     inner, outer = hmac_pads(master)
     pads = [F.unhex(F.lit(x)) for x in (inner, outer)]
-    return F.sha2(F.concat(pads[1], F.unhex(F.sha2(F.concat(pads[0], F.encode(strip(c), "UTF-8")), 256))), 256)
+    return F.sha2(F.concat(pads[1], F.unhex(F.sha2(F.concat(pads[0], F.encode(v, "UTF-8")), 256))), 256)
 
 
 def digits(hexed: Column, n: int, offset: int = 0) -> Column:
@@ -54,10 +63,14 @@ def digits(hexed: Column, n: int, offset: int = 0) -> Column:
 
 def token(c: Column, master: str) -> Column:
     """The format-preserving token of a value; null stays null."""
-    h, kind = digest(c, master), classify(c)
+    parts = lambda v: let(F.struct(_hmac(v, master).alias("h"), _class(v).alias("kind")), _shaped)
+    return F.when(c.isNotNull(), let(strip(c), parts))
+
+
+def _shaped(parts: Column) -> Column:
+    h, kind = parts["h"], parts["kind"]
     return (
-        F.when(c.isNull(), None)
-        .when(kind == "email", F.concat(F.lit("tkn-"), F.substring(h, 1, 8), F.lit("@email.com")))
+        F.when(kind == "email", F.concat(F.lit("tkn-"), F.substring(h, 1, 8), F.lit("@email.com")))
         .when(kind == "phone", F.concat(F.lit("+1-555-"), digits(h, 7)))
         .when(kind == "ssn", F.concat(F.lit("000-00-"), digits(h, 4)))
         .when(kind == "card", F.concat(F.lit("4000-0000-0000-"), digits(h, 4)))
@@ -68,7 +81,10 @@ def token(c: Column, master: str) -> Column:
 
 def looks_like_token(c: Column) -> Column:
     """Whether the stripped value has a token's shape (ends and lengths; digits where said)."""
-    v = strip(c)
+    return let(strip(c), _token_shape)
+
+
+def _token_shape(v: Column) -> Column:
     numeric = lambda prefix, n: v.startswith(prefix) & (F.length(v) == n) & F.substring(v, len(prefix) + 1, n).rlike("^[0-9]+$")
     return (
         (v.startswith("tkn-") & v.endswith("@email.com"))

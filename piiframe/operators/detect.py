@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
 from ..functions.text import TOKEN_PATTERN, looks_like_token, luhn, token
 
 # First-tier patterns in their order of precedence.  The class before a phone
@@ -38,6 +39,10 @@ _FIND = {**PATTERNS, "EMAIL_ADDRESS": r"(?:\G|(?<![a-zA-Z0-9_.+-]))[a-zA-Z0-9_.+
 ENTITY = "struct<type: string, value: string, method: string, confidence: double, masked_value: string>"
 TIERS = ("regex", "checksum", "nlp")
 
+# What a statistical detector is asked for, and the models that are tried in order.
+ENTITY_TYPES = ("EMAIL_ADDRESS", "PHONE_NUMBER", "US_SSN", "CREDIT_CARD", "US_BANK_NUMBER", "CRYPTO", "IBAN_CODE", "IP_ADDRESS", "PERSON")
+MODELS = ("en_core_web_lg", "en_core_web_md", "en_core_web_sm")
+
 
 @dataclass(frozen=True)
 class Options:
@@ -66,14 +71,15 @@ class Options:
 @dataclass(frozen=True)
 class Detector:
     """A second-tier detector: find(list of texts) gives for each text a list of mappings with
-    start, end, entity_type and perhaps score.  fail_open: an error finds nothing instead of
-    stopping the job."""
+    start, end, entity_type and perhaps score.  fail_open: a text on which it fails has no finds,
+    instead of stopping the job.  entity_types: others are left out (none named: all count)."""
 
     find: Callable[[list[str]], list[list[dict]]]
     method: str = "nlp"
     default_score: float = 0.7
     fail_open: bool = False
     boost: float = field(default=0.2)
+    entity_types: Sequence[str] = ()
 
 
 def remote(url: str, language: str = "en", timeout: float = 10.0, fail_open: bool = False) -> Detector:
@@ -88,13 +94,14 @@ def remote(url: str, language: str = "en", timeout: float = 10.0, fail_open: boo
         at = urlsplit(url)
         kind = http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection
         link = kind(at.netloc, timeout=timeout)
+        place = (at.path or "/") + (f"?{at.query}" if at.query else "")
         out = []
         try:
             for text in texts:
                 if not text:
                     out.append([])
                     continue
-                link.request("POST", at.path or "/", json.dumps({"text": text, "language": language}), {"Content-Type": "application/json"})
+                link.request("POST", place, json.dumps({"text": text, "language": language}), {"Content-Type": "application/json"})
                 answer = link.getresponse()
                 body = answer.read()
                 if answer.status >= 400:
@@ -107,6 +114,28 @@ def remote(url: str, language: str = "en", timeout: float = 10.0, fail_open: boo
     return Detector(find, method="nlp-remote", fail_open=fail_open)
 
 
+def statistical(models: Sequence[str] = MODELS, entity_types: Sequence[str] = ENTITY_TYPES, language: str = "en", fail_open: bool = False) -> Detector:
+    """A detector by an analyser with a language model, loaded once in each worker: the first of
+    the models that is installed there.  Both libraries are the caller's to install."""
+    loaded: list = []
+
+    def find(texts: list[str]) -> list[list[dict]]:
+        if not loaded:
+            import spacy.util
+            from presidio_analyzer import AnalyzerEngine
+            from presidio_analyzer.nlp_engine import NlpEngineProvider
+
+            name = next((m for m in models if spacy.util.is_package(m)), None)
+            if name is None:
+                raise ImportError(f"install one of the language models {', '.join(models)}")
+            engine = NlpEngineProvider(nlp_configuration={"nlp_engine_name": "spacy", "models": [{"lang_code": language, "model_name": name}]}).create_engine()
+            loaded.append(AnalyzerEngine(nlp_engine=engine, supported_languages=[language]))
+        asked = list(entity_types) or None
+        return [[{"start": r.start, "end": r.end, "entity_type": r.entity_type, "score": r.score} for r in loaded[0].analyze(text=t, entities=asked, language=language)] if t else [] for t in texts]
+
+    return Detector(find, fail_open=fail_open, entity_types=tuple(entity_types))
+
+
 def resolve_boost(context: Column) -> Column:
     """The keywords that a context column holds."""
     return F.filter(F.array(*[F.lit(k) for k in CONTEXT_KEYWORDS]), lambda k: F.contains(F.lower(context), k))
@@ -186,21 +215,32 @@ def _kept(spans: Column, options: Options, master: str) -> Column:
 
 def _judged(texts: list[str], options: Options, detector: Detector) -> list[list[dict]]:
     """A detector's finds as span rows, with raised confidence where it is due."""
+
+    def judge(some: list[str]) -> list[list[dict]]:
+        rows = []
+        for t, spans in zip(some, detector.find(some), strict=True):
+            row = []
+            for s in spans:
+                score, kind = float(s.get("score", detector.default_score)), s["entity_type"]
+                if detector.entity_types and kind not in detector.entity_types:
+                    continue
+                sure = min(1.0, score + detector.boost) if options.boosted(kind) else score
+                row.append({"start": s["start"], "end": s["end"], "pri": 0, "type": kind, "value": t[s["start"] : s["end"]], "confidence": sure})
+            rows.append(row)
+        return rows
+
+    def alone(text: str) -> list[dict]:
+        try:
+            return judge([text])[0]
+        except Exception:
+            return []
+
     try:
-        found = detector.find(texts)
+        return judge(texts)
     except Exception:
         if not detector.fail_open:
             raise
-        found = [[] for _ in texts]
-    rows = []
-    for t, spans in zip(texts, found):
-        row = []
-        for s in spans:
-            score, kind = float(s.get("score", detector.default_score)), s["entity_type"]
-            sure = min(1.0, score + detector.boost) if options.boosted(kind) else score
-            row.append({"start": s["start"], "end": s["end"], "pri": 0, "type": kind, "value": t[s["start"] : s["end"]], "confidence": sure})
-        rows.append(row)
-    return rows
+    return [alone(t) for t in texts]  # one text's failure leaves no other unscanned
 
 
 def _second_tier(df: DataFrame, text: str, out: str, options: Options, detector: Detector, master: str) -> DataFrame:
@@ -236,25 +276,26 @@ def scan(df: DataFrame, text: str, master: str, options: Options = Options(), de
     entities.  Without a detector the second tier finds nothing."""
     source = F.col(text)
     nothing = F.array().cast(f"array<{ENTITY}>")
-    work = df.withColumn("_pii_text", F.coalesce(source.cast("string"), F.lit("")))
+    own, every, tokens, kept, second = unused(df, "pii_text", "pii_all", "pii_tokens", "pii_kept", "pii_second")
+    work = df.withColumn(own, F.coalesce(source.cast("string"), F.lit("")))
     entities: list[Column] = []
     if options.first:
-        work = work.withColumn("_pii_all", candidates(F.col("_pii_text"), options))
+        work = work.withColumn(every, candidates(F.col(own), options))
         if options.strict_spans:
-            work = work.withColumn("_pii_tokens", _inside_tokens(F.col("_pii_text")))
-            work = work.withColumn("_pii_all", F.filter("_pii_all", lambda s: ~F.exists("_pii_tokens", lambda t: (s["start"] < t["end"]) & (t["start"] < s["end"]))))
-            work = work.withColumn("_pii_kept", resolve_longest(F.col("_pii_all")))
+            work = work.withColumn(tokens, _inside_tokens(F.col(own)))
+            work = work.withColumn(every, F.filter(every, lambda s: ~F.exists(tokens, lambda t: (s["start"] < t["end"]) & (t["start"] < s["end"]))))
+            work = work.withColumn(kept, resolve_longest(F.col(every)))
         else:
-            work = work.withColumn("_pii_kept", resolve(F.col("_pii_all")))
-        work = work.withColumn("_pii_kept", _kept(F.col("_pii_kept"), options, master))
-        work = work.withColumn("_pii_text", F.when(F.size("_pii_kept") > 0, _splice(F.col("_pii_text"), F.col("_pii_kept"), lambda s: s["masked"])).otherwise(F.col("_pii_text")))
-        entities.append(_entities(F.col("_pii_kept"), "regex"))
+            work = work.withColumn(kept, resolve(F.col(every)))
+        work = work.withColumn(kept, _kept(F.col(kept), options, master))
+        work = work.withColumn(own, F.when(F.size(kept) > 0, _splice(F.col(own), F.col(kept), lambda s: s["masked"])).otherwise(F.col(own)))
+        entities.append(_entities(F.col(kept), "regex"))
     if options.second and detector is not None:
-        work = _second_tier(work, "_pii_text", "_pii_second", options, detector, master)
-        work = work.withColumn("_pii_text", _splice(F.col("_pii_text"), F.col("_pii_second"), lambda s: s["masked"]))
-        entities.append(_entities(F.col("_pii_second"), detector.method))
+        work = _second_tier(work, own, second, options, detector, master)
+        work = work.withColumn(own, _splice(F.col(own), F.col(second), lambda s: s["masked"]))
+        entities.append(_entities(F.col(second), detector.method))
     if entities_out:
         work = work.withColumn(entities_out, F.when(source.isNull(), nothing).otherwise(F.concat(*entities)) if entities else nothing)
     if text_out:
-        work = work.withColumn(text_out, F.when(source.isNull(), None).otherwise(F.col("_pii_text")))
-    return work.drop("_pii_text", "_pii_all", "_pii_tokens", "_pii_kept", "_pii_second")
+        work = work.withColumn(text_out, F.when(source.isNull(), None).otherwise(F.col(own)))
+    return work.drop(own, every, tokens, kept, second)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import every, unused
+
 
 def has_text(kind: T.DataType) -> bool:
     if isinstance(kind, T.StringType):
@@ -45,3 +47,15 @@ def leaves(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.ArrayType):
         return F.coalesce(F.flatten(F.transform(c, lambda x: leaves(x, kind.elementType))), nothing)
     return F.coalesce(F.flatten(F.transform(F.map_values(c), lambda x: leaves(x, kind.valueType))), nothing)
+
+
+def replace_leaves(df: DataFrame, kinds: dict[str, T.DataType], replaced: Callable[[Column], Column]) -> DataFrame:
+    """df with every string of its (nested) columns replaced.  The replacement is worked out once
+    for each different string of a row, in one expression however many places the schema has."""
+    made = unused(df, "leaves")[0]
+    texts = F.concat(*[leaves(F.col(f"`{c}`"), kind) for c, kind in kinds.items()])
+    texts = F.array_distinct(F.filter(texts, lambda t: t.isNotNull()))
+    pairs = F.transform(texts, lambda t: F.struct(t.alias("key"), replaced(t).alias("value")))
+    work = df.withColumn(made, F.map_from_entries(pairs))
+    leaf = lambda t: F.when(t.isNotNull(), F.element_at(made, t))
+    return work.select(*[walk(c, kinds[n], leaf).alias(n) if n in kinds else c for n, c in zip(df.columns, every(work))])

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
+
 
 class SecureFunction:
     """A pandas function over columns, used as fn(engine, df, inputs, out, as_of)."""
@@ -20,8 +22,8 @@ class SecureFunction:
     def __call__(self, engine, df: DataFrame, inputs: list[str], out: str, as_of: float) -> DataFrame:
         """df with the function's result.  Inputs (nested or not) are restored for the call
         only; strings in the result are tokenised."""
-        held = [f"_in{i}" for i in range(len(inputs))]
-        work = df.select("*", *[F.col(c).alias(h) for c, h in zip(inputs, held)])
+        held = unused(df.withColumn(out, F.lit(0)), *[f"in{i}" for i in range(len(inputs))])
+        work = df.select("*", *[F.col(f"`{c}`").alias(h) for c, h in zip(inputs, held)])
         work = engine.deep_decode(work, held, as_of)
         call = F.pandas_udf(self.fn, self.returns)
         work = work.withColumn(out, call(*[F.col(h) for h in held])).drop(*held)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.crypto import Cipher
-from ..functions.keys import StaticKeys
+from ..functions.keys import StaticKeys, from_passphrase
 from ..operators import detect, restore
 from ..operators.tools import secure_udf
 from ..sources import vault
@@ -20,8 +20,9 @@ from ..streaming import audit
 from . import sql
 from .engine import Engine
 
-KEYS = StaticKeys("demonstration-encryption-key", "demonstration-master-key")
-OLD_KEYS = StaticKeys("demonstration-encryption-key", "older-demonstration-master-key")
+KEYS = StaticKeys(from_passphrase("demonstration-encryption-key"), "demonstration-master-key")
+OLD_KEYS = StaticKeys(from_passphrase("demonstration-encryption-key"), "older-demonstration-master-key")
+OTHER_KEYS = StaticKeys(from_passphrase("another-demonstration-encryption-key"), "demonstration-master-key")
 MASTER, OLD = KEYS.master_key(), OLD_KEYS.master_key()
 NOW = 1_700_000_000.0
 
@@ -207,7 +208,7 @@ def scan_pipeline_none(spark, sf_dir):
     return _rewritten(read(spark, sf_dir, "documents"), "doc_id", "text", detect.Options(pipeline=("nlp",)))
 
 
-@query()
+@query(_listed_sql(_DOCS, "doc_id", apart=True))
 def scan_strict_spans(spark, sf_dir):
     """The safer mode: whole cards, and nothing inside a token."""
     return _listed(read(spark, sf_dir, "documents"), "doc_id", "text", detect.Options(strict_spans=True))
@@ -328,6 +329,18 @@ def decode_expired(spark, sf_dir):
     return own.decode(own.encode(raw, "raw", "token", NOW).select("c_custkey", "token"), "token", "plain", NOW + 600.5).select("c_custkey", "plain")
 
 
+@query(f"""WITH v AS (SELECT c_custkey, {sql.strip("raw")} AS plain, {sql.token("raw", MASTER)} AS token FROM (SELECT c_custkey, {_SSN} AS raw FROM customer)),
+l AS (SELECT token, plain FROM v QUALIFY row_number() OVER (PARTITION BY token ORDER BY sha256(plain) DESC) = 1)
+SELECT c_custkey, token, l.plain FROM v JOIN l USING (token)""")
+def decode_ssn_collisions(spark, sf_dir):
+    """Four digits are few: of values that share a token the one with the greatest hash is held,
+    whatever the order in which rows come."""
+    own = engine(spark)
+    raw = read(spark, sf_dir, "customer").select("c_custkey", F.expr(value("ssn", "c_custkey", False)).alias("raw"))
+    done = own.encode(raw, "raw", "token", NOW).select("c_custkey", "token")
+    return own.decode(done, "token", "plain", NOW + 1, mode="strict")
+
+
 @query(f"SELECT c_custkey, raw AS plain, length(raw) > 0 AS differs FROM (SELECT c_custkey, {value('card', 'c_custkey', True)} AS raw FROM customer)")
 def ciphertext(spark, sf_dir):
     """Encryption is random and reversible: what is stored is never the value."""
@@ -349,13 +362,13 @@ def detok_text(spark, sf_dir):
     """Texts are rewritten, their values stored, and the tokens in the new texts restored.  Of
     values that share a token the one with the greatest hash is taken as the last written."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    done = detect.scan(docs, "text", MASTER, text_out="out", entities_out="entities")
+    done = vault.pinned(detect.scan(docs, "text", MASTER, text_out="out", entities_out="entities").select("doc_id", "out", "entities"))
     cipher = Cipher(KEYS.encryption_key())
     values = done.select(F.explode("entities").alias("e")).select(F.col("e.masked_value").alias("token"), text.strip(F.col("e.value")).alias("plain")).distinct()
     values = values.withColumn("pt_hash", F.sha2("plain", 256))
     last = values.groupBy("token").agg(F.max_by("plain", "pt_hash").alias("plain"))
-    live = last.select("token", cipher.encrypt(F.col("plain")).alias("ciphertext"))
-    back = restore.detokenize_text(done.select("doc_id", "out"), "out", live, cipher, "back")
+    live = vault.pinned(last.select("token", cipher.encrypt(F.col("plain")).alias("ciphertext")))
+    back = restore.detokenize_text(done.select("doc_id", "out"), "out", lambda tokens: live.join(tokens, "token", "left_semi"), cipher, "back")
     return back.select("doc_id", F.md5("back").alias("out_md5"), F.length("back").cast("long").alias("out_length"))
 
 
@@ -487,12 +500,73 @@ def _capitals(texts: list[str]) -> list[list[dict]]:
     return [[{"start": m.start(), "end": m.end(), "entity_type": "PERSON", "score": 0.6} for m in re.finditer("[A-Z]{6,}", t)] for t in texts]
 
 
-@query()
+_SECOND = f"""WITH RECURSIVE {sql.spans(_DOCS, MASTER, aggressive=True)}, {sql.rewritten()},
+first AS (SELECT id, (max(n) OVER (PARTITION BY id) - n)::BIGINT AS pos, type, value, 'regex' AS method, conf, masked FROM kept),
+runs AS (SELECT id, regexp_extract_all(out, '[A-Z]{{6,}}') AS ms FROM outs),
+ups AS (SELECT id, ms[i] AS value, len(ms) - i AS back FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM runs WHERE len(ms) > 0)),
+second AS (SELECT ups.id, (back + coalesce(f.n, 0))::BIGINT AS pos, 'PERSON' AS type, value, 'nlp-remote' AS method, 0.8::DOUBLE AS conf, {sql.token("value", MASTER)} AS masked
+      FROM ups LEFT JOIN (SELECT id, count(*) AS n FROM kept GROUP BY id) f ON f.id = ups.id)
+SELECT id AS doc_id, pos, type, value, method, conf AS confidence, masked AS masked_value FROM (SELECT * FROM first UNION ALL SELECT * FROM second)"""
+
+
+@query(_SECOND)
 def remote_detector_fake(spark, sf_dir):
     """The second tier on the first one's text: scores of 0.6 pass only when boosted."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = detect.scan(docs, "text", MASTER, detect.Options(aggressive=True), detect.Detector(_capitals, method="nlp-remote"), entities_out="entities", text_out="out")
-    return found.select("doc_id", F.to_json("entities").alias("entities"), F.md5("out").alias("out_md5"))
+    found = detect.scan(docs, "text", MASTER, detect.Options(aggressive=True), detect.Detector(_capitals, method="nlp-remote"), entities_out="entities")
+    return found.select("doc_id", F.posexplode("entities").alias("pos", "e")).select("doc_id", F.col("pos").cast("long").alias("pos"), "e.type", "e.value", "e.method", "e.confidence", "e.masked_value")
+
+
+# --- what an engine writes to the trail
+
+
+def _trail(kept: list[DataFrame]) -> DataFrame:
+    """All events of the calls, each with how many share its number (one)."""
+    whole = kept[0]
+    for more in kept[1:]:
+        whole = whole.unionByName(more)
+    whole = vault.pinned(whole)  # numbers are drawn once
+    same = whole.groupBy("ts", "id").agg(F.count("*").alias("same_id"))
+    return whole.join(same, ["ts", "id"]).drop("id")
+
+
+_GUARDED = "CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'tkn-abcd1234@email.com' ELSE raw END"
+
+
+@query(f"SELECT {NOW + 1}::DOUBLE AS ts, 'encode' AS action, {sql.token('raw', MASTER)} AS token, {sql.kind('raw')} AS data_type, '' AS agent, '' AS tool, NULL::VARCHAR AS extra_json, 1::BIGINT AS same_id FROM {_MIXED} WHERE c_custkey % 5 >= 2")
+def audit_of_encode(spark, sf_dir):
+    """Values that are new and values that the vault has are logged with their tokens; nulls and what
+    is a token already are not."""
+    kept: list[DataFrame] = []
+    rows = _mixed(spark, sf_dir).select("c_custkey", F.expr(_GUARDED).alias("raw"))
+    first = engine(spark)
+    first.encode(rows.where("c_custkey % 2 = 0"), "raw", "token", NOW)
+    engine(spark, vault=first.vault, audit_sink=kept.append).encode(rows, "raw", "token", NOW + 1)
+    return _trail(kept)
+
+
+_MAIL_TOKEN = sql.token(_V["email"], MASTER)
+
+
+@query(f"""WITH c AS (SELECT c_custkey % 6 AS k, {_MAIL_TOKEN} AS token FROM customer)
+SELECT {NOW + 100}::DOUBLE AS ts, CASE k WHEN 0 THEN 'decode' WHEN 4 THEN 'error' ELSE 'expired' END AS action,
+  CASE k WHEN 1 THEN 'tkn-00000000@email.com' WHEN 5 THEN '[no token]' ELSE token END AS token, 'opaque' AS data_type, '' AS agent, '' AS tool,
+  CASE k WHEN 4 THEN '{{"error":"decryption_failed"}}' END AS extra_json, 1::BIGINT AS same_id FROM c, range(2) WHERE k <> 3""")
+def audit_of_decode(spark, sf_dir):
+    """Hits, unknown and expired tokens, another key, nulls and plain words, decoded in place and
+    with nulls for what is missing: the outcome and the token are logged, never the value."""
+    kept: list[DataFrame] = []
+    own = engine(spark, audit_sink=kept.append)
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.expr(value("email", "c_custkey", False)).alias("raw"))
+    quiet, other = engine(spark, vault=own.vault), engine(spark, OTHER_KEYS, vault=own.vault)
+    quiet.encode(rows.where("c_custkey % 6 = 0"), "raw", "token", NOW)
+    quiet.encode(rows.where("c_custkey % 6 = 2"), "raw", "token", NOW, ttl=10)
+    other.encode(rows.where("c_custkey % 6 = 4"), "raw", "token", NOW)
+    case = F.expr("CASE c_custkey % 6 WHEN 1 THEN 'tkn-00000000@email.com' WHEN 3 THEN NULL WHEN 5 THEN 'plain words' ELSE token END")
+    asked = rows.withColumn("token", text.token(F.col("raw"), MASTER)).select("c_custkey", case.alias("token"))
+    own.decode(asked, "token", "token", NOW + 100)
+    own.decode(asked, "token", "plain", NOW + 100, mode="null")
+    return _trail(kept)
 
 
 FLAGSHIP = scan_entities

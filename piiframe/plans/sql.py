@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.keys import hmac_pads
 
+# White space, patterns and token shapes, as DuckDB's expressions spell them.
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SEP = r"[ \t\n\x0b\f\r\-.]"
 PATTERNS = [
@@ -69,10 +70,21 @@ cand AS (SELECT id, t, pri, type, value, s, s + length(value) AS e,
       greatest({base}, CASE WHEN type = 'CREDIT_CARD' AND {luhn} THEN 0.99 ELSE 0.0 END)::DOUBLE AS conf FROM c)"""
 
 
-def spans(source: str, master: str, threshold: float = 0.7, boosted: tuple[str, ...] = (), aggressive: bool = False) -> str:
+def strict() -> str:
+    """CTEs after `cand`, up to `apart`: candidates that meet no token and no longer candidate (of
+    equally long ones, none that comes before)."""
+    return f"""tm AS (SELECT id, regexp_extract_all(t, '{TOKENS}') AS ms, regexp_split_to_array(t, '{TOKENS}') AS ps FROM src),
+tk AS (SELECT id, (list_sum([length(x) FOR x IN ps[1:i]]) + coalesce(list_sum([length(x) FOR x IN ms[1:i-1]]), 0))::BIGINT AS s, length(ms[i]) AS n
+      FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM tm WHERE len(ms) > 0)),
+free AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.id = c.id AND c.s < tk.s + tk.n AND tk.s < c.e)),
+apart AS (SELECT * FROM free a WHERE NOT EXISTS (SELECT 1 FROM free b WHERE b.id = a.id AND a.s < b.e AND b.s < a.e
+      AND (b.e - b.s > a.e - a.s OR (b.e - b.s = a.e - a.s AND (b.s < a.s OR (b.s = a.s AND b.pri < a.pri))))))"""
+
+
+def spans(source: str, master: str, threshold: float = 0.7, boosted: tuple[str, ...] = (), aggressive: bool = False, apart: bool = False) -> str:
     """CTEs up to `kept`: id, t, type, value, s, e, conf, masked, n (ascending within a text)."""
-    return f"""{candidates(source, boosted, aggressive)},
-o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, s - e, pri) AS rn FROM cand),
+    return f"""{candidates(source, boosted, aggressive)}{", " + strict() if apart else ""},
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, s - e, pri) AS rn FROM {"apart" if apart else "cand"}),
 g AS (SELECT id, rn, e AS last, TRUE AS keep FROM o WHERE rn = 1
       UNION ALL SELECT o.id, o.rn, CASE WHEN o.s >= g.last THEN o.e ELSE g.last END, o.s >= g.last FROM g JOIN o ON o.id = g.id AND o.rn = g.rn + 1),
 kept AS (SELECT o.id, t, type, value, s, e, conf, {token('value', master)} AS masked, row_number() OVER (PARTITION BY o.id ORDER BY s) AS n

@@ -32,30 +32,54 @@ def events(df: DataFrame, id: Column, ts: Column, action: Column, token: Column,
 
 
 def payloads(rows: DataFrame) -> DataFrame:
-    """id and the JSON that is sent: the fields, overridden and joined by the extra ones."""
+    """ts, id and the JSON that is sent: the fields, overridden and joined by the extra ones."""
     base = F.map_from_arrays(F.array(*[F.lit(c) for c in FIELDS]), F.array(*[F.col(c).cast("string") for c in FIELDS]))
     extra = F.coalesce(F.from_json("extra_json", "map<string, string>"), F.create_map().cast("map<string, string>"))
     kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(extra, k))
-    return rows.select("id", F.to_json(F.map_concat(kept, extra)).alias("payload"))
+    return rows.select("ts", "id", F.to_json(F.map_concat(kept, extra)).alias("payload"))
 
 
 def flush(log: DataFrame, batch: int = BATCH) -> DataFrame:
     """The oldest rows of the log, oldest first, as many as one flush takes."""
-    return log.orderBy("id").limit(batch)
+    return log.orderBy("ts", "id").limit(batch)
 
 
 def without(log: DataFrame, flushed: DataFrame) -> DataFrame:
     """The log after a flush."""
-    return log.join(flushed.select("id"), "id", "left_anti")
+    return log.join(flushed.select("ts", "id"), ["ts", "id"], "left_anti")
 
 
 def drain(log: DataFrame, send: Callable[[list[str]], bool], batch: int = BATCH) -> DataFrame:
     """One flush: send a batch of payloads from the driver, and the log without them if that
     succeeded.  At least once: what could not be sent stays."""
-    found = payloads(flush(log, batch)).orderBy("id").collect()  # `batch` rows at most
+    found = payloads(flush(log, batch)).orderBy("ts", "id").collect()  # `batch` rows at most
     if not found or not send([r["payload"] for r in found]):
         return log
-    return without(log, log.sparkSession.createDataFrame([(r["id"],) for r in found], "id long"))
+    return without(log, log.sparkSession.createDataFrame([(r["ts"], r["id"]) for r in found], "ts double, id long"))
+
+
+class AuditLog:
+    """A trail in Parquet under one path, written an append at a time; `write` is an engine's sink.
+    stream sends it on; without a path nothing is kept."""
+
+    def __init__(self, path: str | None):
+        self.path = path
+
+    def write(self, rows: DataFrame) -> None:
+        if self.path:
+            rows.write.mode("append").parquet(self.path)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(SCHEMA).parquet(self.path)
+
+
+#: What stands for a text that is no token, so that no original gets into the trail.
+NO_TOKEN = "[no token]"
+
+
+def numbered(call: str) -> Column:
+    """Event numbers that differ within a call, and from those of other calls (of other names)."""
+    return F.xxhash64(F.lit(call), F.monotonically_increasing_id())
 
 
 def stream(spark: SparkSession, path: str, checkpoint: str, send: Callable[[list[str]], bool], period: float | None = PERIOD, batch: int = BATCH) -> StreamingQuery:

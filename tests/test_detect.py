@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from piiframe.functions import text
-from piiframe.functions.keys import StaticKeys
+from piiframe.functions.keys import StaticKeys, from_passphrase
 from piiframe.operators import detect, nested
 from piiframe.operators.tools import secure_udf
 from piiframe.plans.engine import Engine
@@ -131,7 +131,7 @@ def payload(spark):
 
 
 def test_deep_encode_and_decode(spark):
-    own = Engine(spark, StaticKeys("enc", KEY))
+    own = Engine(spark, StaticKeys(from_passphrase("enc"), KEY))
     df = payload(spark)
     columns = ["user", "cc", "extra", "deep"]
     done = own.deep_encode(df, columns)
@@ -148,7 +148,7 @@ def test_deep_encode_and_decode(spark):
 
 
 def test_deep_encode_with_a_detector(spark):
-    own = Engine(spark, StaticKeys("enc", KEY), detector=detect.Detector(names))
+    own = Engine(spark, StaticKeys(from_passphrase("enc"), KEY), detector=detect.Detector(names))
     df = spark.createDataFrame([(["see ADA, a@b.co", None, "tkn-abcd1234@email.com", ""], {"k": "BOB"})], "l array<string>, m map<string, string>")
     r = own.deep_encode(df, ["l", "m"], detect.Options(aggressive=True)).first()
     assert re.fullmatch(r"see \[TKN-\w{8}\], tkn-\w{8}@email\.com", r.l[0]) and list(r.l[1:]) == [None, "tkn-abcd1234@email.com", ""]
@@ -164,7 +164,7 @@ def test_leaves(spark):
 
 
 def test_secure_functions(spark):
-    own = Engine(spark, StaticKeys("enc", KEY))
+    own = Engine(spark, StaticKeys(from_passphrase("enc"), KEY))
     df = spark.createDataFrame([("bob@example.com",)], "v string")
     safe = own.encode(df, "v", "t", 1000.0).select("t")
 

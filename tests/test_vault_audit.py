@@ -5,12 +5,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from piiframe.functions.keys import StaticKeys
+from piiframe.functions.keys import StaticKeys, from_passphrase
 from piiframe.plans.engine import Engine
 from piiframe.sources import vault
 from piiframe.streaming import audit
 
-KEYS = StaticKeys("enc", "key")
+KEYS = StaticKeys(from_passphrase("enc"), "key")
 
 
 def frame(spark, *values):
@@ -40,7 +40,7 @@ def test_round_trip_expiry_and_modes(spark, own):
     assert column(own.decode(safe.where("i < 3"), "t", "p", 1060.0, mode="strict"), "p") == ["a@b.co", "a@b.co", "555-123-4567"]
     with pytest.raises(Exception, match="not found or expired"):
         own.decode(safe.where("i < 3"), "t", "p", 1060.5, mode="strict").collect()
-    other = Engine(spark, StaticKeys("another", "key"), vault=own.vault)
+    other = Engine(spark, StaticKeys(from_passphrase("another"), "key"), vault=own.vault)
     with pytest.raises(Exception, match="decrypt"):
         other.decode(safe.where("i = 0"), "t", "p", 1001.0, mode="strict").collect()
     assert column(other.decode(safe.where("i = 0"), "t", "p", 1001.0), "p") == tokens[:1]
@@ -83,7 +83,7 @@ def test_latest_before_expiry(spark):
 
 def test_older_token_wins_over_a_new_key(spark):
     df = frame(spark, "a@b.co")
-    old = Engine(spark, StaticKeys("enc", "old"))
+    old = Engine(spark, StaticKeys(from_passphrase("enc"), "old"))
     first = column(old.encode(df, "v", "t", 1000.0), "t")
     new = Engine(spark, KEYS, vault=old.vault)
     assert column(new.encode(df, "v", "t", 1001.0), "t") == first
@@ -107,48 +107,82 @@ def test_scan_persist_restore(spark, own):
 
 
 class Fake:
-    """One dictionary for all workers of a local test: a file."""
+    """One dictionary for all workers of a local test: a file for each key."""
 
     def __init__(self, path):
         self.path = path
 
-    def _read(self):
-        import os
-
-        return json.load(open(self.path)) if os.path.exists(self.path) else {}
+    def _at(self, key):
+        return self.path / key.encode().hex()
 
     def put_many(self, rows):
-        held = self._read()
-        held.update({k: v for k, v, _ in rows})
-        json.dump(held, open(self.path, "w"))
+        for key, value, life, expiry in rows:
+            assert isinstance(life, int) and life >= 1
+            self._at(key).write_text(value)
 
     def get_many(self, keys):
-        held = self._read()
-        return [held.get(k) for k in keys]
+        return [self._at(k).read_text() if self._at(k).exists() else None for k in keys]
 
     def delete_many(self, keys):
-        held = {k: v for k, v in self._read().items() if k not in keys}
-        json.dump(held, open(self.path, "w"))
-
-
-def test_key_value_vault(spark, tmp_path):
-    path = str(tmp_path / "kv.json")
-    store = vault.make_vault("redis", spark, connect=lambda: Fake(path))
-    rows = spark.createDataFrame([("t1", "c1", "h1", 99.0, 1, False), ("t2", "c2", None, 99.0, 2, False)], vault.SCHEMA).coalesce(1)
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    try:
-        store.store(rows)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-    df = frame(spark, "t1", "t2", "t3", None)
-    assert column(store.retrieve(df, "v"), "ciphertext") == ["c1", "c2", None, None]
-    assert column(store.find(frame(spark, "h1", "h2"), "v"), "token") == ["t1", None]
-    store.delete(spark.createDataFrame([("t1",)], "token string"))
-    assert Fake(path)._read() == {"piiframe:t2": "c2"}
+        for k in keys:
+            self._at(k).unlink(missing_ok=True)
+
+    def keys(self):
+        return sorted(bytes.fromhex(p.name).decode().split("/")[1] for p in self.path.iterdir())
+
+
+@pytest.fixture(params=["redis", "memcached", "dynamodb"])
+def outside(request, spark, tmp_path):
+    store = vault.make_vault(request.param, spark, connect=lambda: Fake(tmp_path))
+    return Engine(spark, KEYS, vault=store, ttl=60), Fake(tmp_path)
+
+
+def test_engine_over_outside_stores(spark, outside):
+    own, store = outside
+    df = frame(spark, "a@b.co", " a@b.co ", "555-123-4567", None, "tkn-abcd1234@email.com")
+    done = own.encode(df, "v", "t", 1000.0)
+    tokens = column(done, "t")
+    assert tokens[0] == tokens[1] and tokens[3] is None and store.keys() == ["hash"] * 2 + ["token"] * 2
+    safe = done.select("i", "t")
+    assert column(own.decode(safe, "t", "p", 1060.0), "p") == ["a@b.co", "a@b.co", "555-123-4567", None, tokens[4]]
+    old = Engine(spark, StaticKeys(from_passphrase("enc"), "old"), vault=own.vault)
+    assert column(old.encode(df, "v", "t", 1001.0), "t") == tokens  # what the store has keeps its token
+    texts = frame(spark, f"to {tokens[0]} and {tokens[2]}")
+    assert column(own.detokenize_text(texts, "v", "o", 1001.0), "o") == ["to a@b.co and 555-123-4567"]
+    own.delete(safe.where("i = 2"), "t", seq=1)
+    assert column(own.decode(safe, "t", "p", 1001.0, mode="null"), "p") == ["a@b.co", "a@b.co", None, None, None]
+    assert store.keys() == ["hash", "token"]
+    store.delete_many([f"piiframe/token/{tokens[0]}"])  # the token went by itself: its hash goes when it is read
+    assert own.new_values(df.where("i = 0"), "v", 1001.0).first()["known"] is False and store.keys() == []
+
+
+def test_expired_records_go_with_their_hashes(spark, outside):
+    own, store = outside
+    done = own.encode(frame(spark, "a@b.co", "b@b.co"), "v", "t", 1000.0, ttl=10).select("i", "v", "t")
+    assert column(own.decode(done.where("i = 0"), "t", "p", 1010.5, mode="null"), "p") == [None]
+    assert store.keys() == ["hash", "token"]
+    assert column(own.encode(done.where("i = 1"), "v", "u", 1011.0), "u") == column(done.where("i = 1"), "t")  # stored anew
+    assert column(own.decode(done, "t", "p", 1020.0, mode="null"), "p") == [None, "b@b.co"]
     with pytest.raises(ValueError):
         vault.make_vault("cloud", spark)
 
 
+def test_collisions_hold_the_greatest_hash(spark, own, outside):
+    """Whatever the order of the rows, and in every kind of vault."""
+    import hashlib
+
+    values = [f"{100 + i // 90}-{10 + i % 90}-{(i * 31) % 10000:04d}" for i in range(2500)]
+    for engine in (own, outside[0]):
+        done = engine.encode(frame(spark, *values).repartition(3), "v", "t", 1000.0).select("i", "v", "t")
+        rows = done.collect()
+        best = {}
+        for r in rows:
+            best[r.t] = max(best.get(r.t, ("",)), (hashlib.sha256(r.v.encode()).hexdigest(), r.v))
+        assert len(best) < len(values) - 100
+        for again in (done, done.repartition(7, "v")):
+            assert {(r.t, r.p) for r in engine.decode(again, "t", "p", 1001.0).collect()} == {(t, b[1]) for t, b in best.items()}
+
+
 def test_clients():
     calls = []
 
@@ -168,8 +202,8 @@ def test_clients():
         def delete(self, *keys):
             calls.append(keys)
 
-    store = vault.RedisStore(Redis(), lambda: 1000.0)
-    store.put_many([("k", "v", 1060.0)])
+    store = vault.RedisStore(Redis())
+    store.put_many([("k", "v", 60, 1060.0)])
     assert store.get_many(["k", "l"]) == ["x", None] and store.get_many([]) == []
     store.delete_many(["k"])
     assert calls == [("k", 60, "v"), "run", ("k",)]
@@ -185,13 +219,15 @@ def test_clients():
             self.pop(Key["token"], None)
 
     table = Table()
-    store = vault.DynamoStore(table, lambda: 1000.0)
-    store.put_many([("a", "x", 1060.0), ("b", "y", 900.0)])
-    assert table["a"]["ttl"] == 1060 and store.get_many(["a", "b", "c"]) == ["x", None, None] and set(table) == {"a"}
+    store = vault.DynamoStore(table)
+    store.put_many([("a", "x", 60, 1060.0), ("b", "y", 1, 900.0)])
+    store.delete_many(["b"])
+    assert table["a"]["ttl"] == 1060 and store.get_many(["a", "b", "c"]) == ["x", None, None]
 
     class Memcached(dict):
-        def set(self, key, value, expire):
-            self[key] = value.encode()
+        def set_many(self, values, expire):
+            calls.append((len(values), expire))
+            self.update({k: v.encode() for k, v in values.items()})
 
         def get_many(self, keys):
             return {k: self[k] for k in keys if k in self}
@@ -199,9 +235,82 @@ def test_clients():
         def delete_many(self, keys):
             [self.pop(k, None) for k in keys]
 
-    store = vault.MemcachedStore(Memcached(), lambda: 0.0)
-    store.put_many([("a", "x", 5.0)])
-    assert store.get_many(["a", "b"]) == ["x", None]
+    calls.clear()
+    store = vault.MemcachedStore(Memcached())
+    store.put_many([("a", "w", 9, 5.0), ("a", "x", 5, 5.0), ("b", "y", 5, 5.0), ("c", "z", 10**7, 1e7)])
+    assert store.get_many(["a", "b", "d"]) == ["x", "y", None] and calls == [(2, 5), (1, 0)]
+
+
+def test_from_the_environment(spark, monkeypatch, tmp_path):
+    from piiframe.functions.keys import new_key
+
+    for name, held in {"ENCRYPTION_KEY": new_key(), "VAULT": "parquet", "VAULT_PATH": str(tmp_path / "v"), "VAULT_TTL": "7", "SCANNER": "remote", "SCANNER_URL": "http://x/a?b=c", "AUDIT_PATH": str(tmp_path / "a")}.items():
+        monkeypatch.setenv(f"PIIFRAME_{name}", held)
+    own = Engine.from_env(spark)
+    done = own.encode(frame(spark, "a@b.co"), "v", "t", 1000.0).select("i", "t")
+    assert column(own.decode(done, "t", "p", 1007.0), "p") == ["a@b.co"] and column(own.decode(done, "t", "p", 1007.5, mode="null"), "p") == [None]
+    assert own.detector.method == "nlp-remote" and own.detector.fail_open
+    assert sorted(r.action for r in audit.AuditLog(str(tmp_path / "a")).read(spark).collect()) == ["decode", "encode", "expired"]
+    for kind in ("redis", "memcached", "dynamodb"):
+        monkeypatch.setenv("PIIFRAME_VAULT", kind)
+        assert isinstance(vault.vault_from_env(spark), vault.KeyValueVault)
+    monkeypatch.setenv("PIIFRAME_VAULT", "cloud")
+    with pytest.raises(ValueError):
+        vault.vault_from_env(spark)
+    monkeypatch.setenv("PIIFRAME_VAULT", "memory")
+    monkeypatch.setenv("PIIFRAME_SCANNER", "psychic")
+    with pytest.raises(ValueError):
+        Engine.from_env(spark)
+
+
+def test_keys_are_checked(spark):
+    from piiframe.functions import keys
+
+    for wrong in ("enc", "", keys.new_key()[:-2], keys.new_key() + "AAAA", "+" * 43 + "="):
+        with pytest.raises(ValueError):
+            Engine(spark, StaticKeys(wrong, "key"))
+    assert len(keys.aes_key(keys.new_key())) == 64 and keys.from_passphrase("a") == keys.from_passphrase("a") != keys.from_passphrase("b")
+
+
+def test_appends_during_a_compaction_stay(spark, tmp_path):
+    store = vault.ParquetVault(spark, str(tmp_path / "v"))
+    one = lambda t, at: spark.createDataFrame([(t, "c", "h" + t, at, 1, False)], vault.SCHEMA)
+    store.append(one("a", 500.0))
+    store.append(one("b", 50.0))
+
+    def meanwhile(log):
+        store.append(one("c", 500.0))
+        return vault.compact(log, 100.0)
+
+    store.replace(meanwhile)
+    assert sorted(r.token for r in store.log().collect()) == ["a", "c"]
+    store.compact(100.0)
+    assert sorted(r.token for r in store.log().collect()) == ["a", "c"]
+
+
+CLASHES = ["token", "ciphertext", "pt_hash", "_hash", "hash", "key", "held", "hashed", "plain", "action", "of", "tokens", "made", "leaves", "second", "pii_text", "pii_all", "pii_kept", "value", "known", "seq", "expires_at", "deleted", "_row", "_token", "_plain", "_set", "_tokens", "in0", "entities", "id", "a.b"]
+
+
+def test_columns_of_any_name(spark, own):
+    """Every working name as a user's column: nothing is lost, overwritten or ambiguous."""
+    from piiframe.operators import detect
+    from piiframe.operators.tools import secure_udf
+
+    df = frame(spark, "a@b.co", "call 555-123-4567", None).select("*", *[F.lit(n).alias(n) for n in CLASHES])
+    same = lambda out, but: all(tuple(r[n] for n in CLASHES if n not in but) == tuple(n for n in CLASHES if n not in but) for r in out.collect())
+    safe = own.encode(df, "v", "t", 1000.0)
+    back = own.decode(safe, "t", "p", 1001.0)
+    assert same(back, []) and column(back, "p") == ["a@b.co", "call 555-123-4567", None]
+    assert same(own.decode(safe, "t", "token", 1001.0, mode="null"), ["token"])
+    text = own.tokenize_text(df, "v", "held", entities="made")
+    own.persist(text, "made", 1002.0)
+    assert same(own.detokenize_text(text, "held", "of", 1003.0), ["held", "made", "of"])
+    deep = own.deep_decode(own.deep_encode(df.withColumn("n", F.struct("v", F.array("v").alias("w"))), ["n", "v"]), ["n"], 1003.0)
+    assert same(deep, []) and [r.n.w[0] for r in deep.orderBy("i").collect()][0] == "a@b.co"
+    two = Engine(spark, KEYS, detector=detect.Detector(lambda ts: [[{"start": 0, "end": 1, "entity_type": "PERSON", "score": 0.9}] if t else [] for t in ts]))
+    assert same(two.deep_encode(df, ["v"]), [])
+    upper = secure_udf(lambda x: x.str.upper(), returns="string", name="upper")
+    assert same(upper(own, safe, ["t"], "key", 1003.0), ["key"])
 
 
 # --- audit
@@ -263,7 +372,7 @@ def service():
             got.append((self.path, body))
             spans = [{"start": m.start(), "end": m.end(), "entity_type": "PERSON", "score": 0.9} for m in re.finditer("[A-Z]{3,}", body.get("text", ""))]
             answer = json.dumps(spans).encode()
-            self.send_response(503 if self.path == "/no" else 200)
+            self.send_response(503 if self.path == "/no" or "BAD" in str(body) else 200)
             self.send_header("Content-Length", str(len(answer)))
             self.end_headers()
             self.wfile.write(answer)
@@ -296,16 +405,40 @@ def test_remote_detector(spark, service):
     assert got == [("/find", {"text": "see ADA", "language": "en"})]
     safe = detect.scan(df, "v", "key", detect.Options(), detect.remote(url + "/no", fail_open=True), entities_out="e")
     assert safe.selectExpr("sum(size(e))").first()[0] == 0
+    got.clear()
+    some = frame(spark, "see ADA", "BAD one", "and BOB").coalesce(1)
+    out = detect.scan(some, "v", "key", detect.Options(), detect.remote(url + "/some?model=x", fail_open=True), entities_out="e").orderBy("i").collect()
+    assert [[e.value for e in r.e] for r in out] == [["ADA"], [], ["BOB"]]  # the text that fails leaves no other unscanned
+    assert {p for p, _ in got} == {"/some?model=x"}
     with pytest.raises(Exception):
         detect.scan(df, "v", "key", detect.Options(), detect.remote(url + "/no"), entities_out="e").collect()
 
 
 def test_engine_audits(spark):
     kept = []
-    own = Engine(spark, KEYS, audit_sink=lambda rows: kept.append(rows.select("action", "data_type", "token").collect()))
-    done = own.encode(frame(spark, "a@b.co", None), "v", "t", 1000.0)
-    own.decode(done.select("i", "t"), "t", "p", 5000.0)
-    assert [(r.action, r.data_type) for r in kept[0]] == [("encode", "email")] and [r.action for r in kept[1]] == ["expired"]
+    own = Engine(spark, KEYS, audit_sink=lambda rows: kept.append(rows.collect()))
+    done = own.encode(frame(spark, "a@b.co", None, "tkn-abcd1234@email.com"), "v", "t", 1000.0)
+    own.decode(done.select("i", "t"), "t", "t", 1001.0)
+    own.decode(done.select("i", "t"), "t", "p", 5000.0, mode="null")
+    own.decode(frame(spark, "my words"), "v", "p", 1001.0)
+    Engine(spark, StaticKeys(from_passphrase("x"), "key"), vault=own.vault, audit_sink=own.audit_sink).decode(done.select("i", "t").where("i = 0"), "t", "p", 1001.0)
+    assert [[r.action for r in k] for k in kept[:1]] == [["encode"]] and kept[0][0].data_type == "email"
+    assert [sorted(r.action for r in k) for k in kept[1:]] == [["decode", "expired"], ["expired", "expired"], ["expired"], ["error"]]
+    assert kept[4][0].extra_json == '{"error":"decryption_failed"}'
+    assert not any("a@b.co" in str(r) or "my words" in str(r) for k in kept for r in k)
+    ids = [(r.ts, r.id) for k in kept for r in k]
+    assert len(set(ids)) == len(ids)
+
+
+def test_drain_over_two_calls_loses_nothing(spark):
+    trail = []
+    own = Engine(spark, KEYS, audit_sink=lambda rows: trail.append(vault.pinned(rows)))
+    for at in (1000.0, 1000.0, 1001.0):
+        own.encode(frame(spark, *[f"a{i}@b.co" for i in range(20)]), "v", "t", at)
+    rest, sent = trail[0].unionByName(trail[1]).unionByName(trail[2]), []
+    while rest.count():
+        rest = vault.pinned(audit.drain(rest, lambda batch: sent.extend(batch) or True, batch=25))
+    assert len(sent) == 60 and len({json.loads(x)["token"] for x in sent}) == 20
 
 
 def test_rates(spark):
@@ -323,6 +456,56 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entry_without_the_training_data_operators(monkeypatch):
+    """A module that they need is missing: the other queries are there all the same."""
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [n for n in sys.modules if n.startswith("piiframe.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "piiframe.llm", None)
+    with pytest.warns(UserWarning):
+        assert "scan_entities" in entry.queries() and not any(n.startswith("op") for n in entry.queries())
+
+
+def test_statistical_detector_asks_the_first_model(monkeypatch):
+    import sys
+    import types
+
+    from piiframe.operators import detect
+
+    asked = []
+    util = types.SimpleNamespace(is_package=lambda m: m == "en_core_web_md")
+    result = types.SimpleNamespace(start=0, end=3, entity_type="PERSON", score=0.85)
+
+    class Analyzer:
+        def __init__(self, nlp_engine, supported_languages):
+            asked.append(nlp_engine)
+
+        def analyze(self, text, entities, language):
+            asked.append(entities)
+            return [result]
+
+    class Provider:
+        def __init__(self, nlp_configuration):
+            self.name = nlp_configuration["models"][0]["model_name"]
+
+        def create_engine(self):
+            return self.name
+
+    for name, module in {"spacy": types.SimpleNamespace(util=util), "spacy.util": util, "presidio_analyzer": types.SimpleNamespace(AnalyzerEngine=Analyzer), "presidio_analyzer.nlp_engine": types.SimpleNamespace(NlpEngineProvider=Provider)}.items():
+        monkeypatch.setitem(sys.modules, name, module)
+    own = detect.statistical()
+    assert detect._judged(["Ada", ""], detect.Options(), own) == [[{"start": 0, "end": 3, "pri": 0, "type": "PERSON", "value": "Ada", "confidence": 0.85}], []]
+    assert asked == ["en_core_web_md", list(detect.ENTITY_TYPES)]
+    result.entity_type = "DATE_TIME"  # not among those that are asked for
+    assert detect._judged(["Ada"], detect.Options(), own) == [[]]
+    monkeypatch.setattr(util, "is_package", lambda m: False)
+    with pytest.raises(ImportError):
+        detect.statistical().find(["x"])
+
+
 def test_queries_against_sql(spark, sf_dir):
     """A few of the registered queries against their SQL (the driver compares all)."""
     import duckdb
@@ -332,7 +515,7 @@ def test_queries_against_sql(spark, sf_dir):
     con = duckdb.connect()
     for t in ("customer", "documents", "pages", "events", "labels", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    for name in ("tok_mixed_classify", "guard_truth", "scan_entities", "scan_text", "scan_aggressive", "vault_live_as_of", "vault_dedup_hit", "detok_text", "audit_extra_json", "deep_encode_map"):
+    for name in ("tok_mixed_classify", "guard_truth", "scan_entities", "scan_text", "scan_aggressive", "vault_live_as_of", "vault_dedup_hit", "detok_text", "audit_extra_json", "deep_encode_map", "decode_ssn_collisions", "audit_of_encode", "audit_of_decode", "scan_strict_spans", "remote_detector_fake"):
         got = QUERIES[name](spark, sf_dir)
         cur = con.execute(ORACLE[name])
         names = [d[0] for d in cur.description]
