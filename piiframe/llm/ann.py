@@ -11,8 +11,8 @@ costs no more than any other.  Codes and queries are dealt in blocks on a grid;
 the corpus reaches the driver but for a bounded training sample.
 
 Defined results: vectors that are null, empty, all zeros, or hold a null or non-finite
-component take no part, nor do those of another dimension than most, nor rows whose id is
-null.  Fewer candidates than asked for are returned as far as they go.  Repeated rows (equal id
+component take no part, nor do those of another dimension than most (a cosine with them is not
+defined), nor rows whose id is null.  Fewer candidates than asked for are returned as far as they go.  Repeated rows (equal id
 and vector) count once.  An empty table gives no rows.  Only the id and the vector are read,
 so other columns cannot clash.
 """
@@ -117,16 +117,22 @@ def _vectors(rows: DataFrame, vec_col: str):
     return F.transform(F.col(vec_col).cast(f"array<{kind}>"), lambda x: x + F.lit(0.0).cast(kind))
 
 
+def _hashes(vec):
+    """Two hashes of a vector, by which equal ones meet: 128 bits instead of the vector itself."""
+    return F.xxhash64(F.lit(1), vec).alias("h1"), F.xxhash64(F.lit(2), vec).alias("h2")
+
+
 def candidates(rows: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """key (smallest id), ids (the k + 1 smallest), vec of each different vector that takes part."""
+    """h1, h2, key (smallest id), ids (the k + 1 smallest), vec of each different vector that takes
+    part.  The vector travels with its smallest ids only."""
     vec = _vectors(rows, vec_col)
     ok = F.col(id_col).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(vec, lambda x: x != 0)
-    valid = rows.where(ok).select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
+    valid = rows.where(ok).select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), *_hashes(vec))
     # the row limit is applied before the shuffle too, so a vector that many rows hold sends few
-    first = Window.partitionBy("vec").orderBy("id")
-    few = valid.withColumn("r", F.dense_rank().over(first)).where(F.col("r") <= k + 1).select("id", "vec").distinct()
-    out = few.groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    return out.select(F.element_at("ids", 1).alias("key"), "ids", "vec")
+    first = Window.partitionBy("h1", "h2").orderBy("id")
+    few = valid.withColumn("r", F.dense_rank().over(first)).where(F.col("r") <= k + 1)
+    out = few.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("vec").alias("vec"))
+    return out.select("h1", "h2", F.element_at("ids", 1).alias("key"), "ids", "vec")
 
 
 def _blocks(rows: DataFrame, size: int, total: int, seed: int) -> DataFrame:
@@ -164,8 +170,9 @@ def search(
     packed = coded.groupBy("block").agg(F.collect_list(F.struct("key", "code", "norm")).alias("codes"))
 
     # every distinct vector that a query holds asks once
-    more = rows.where(is_query(F.col(id_col))).select(F.col(id_col).cast("long").alias("query_id"), _vectors(rows, vec_col).alias("vec")).distinct()
-    queries = cut(more.join(found.select("key", "vec"), "vec").select("query_id", "key", "vec"))
+    vec = _vectors(rows, vec_col)
+    more = rows.where(is_query(F.col(id_col))).select(F.col(id_col).cast("long").alias("query_id"), vec.alias("vec"), *_hashes(vec)).dropDuplicates(["query_id", "h1", "h2"])
+    queries = cut(more.join(found.select("h1", "h2", "key"), ["h1", "h2"]).select("query_id", "key", "vec"))
     distinct = queries.select("key", "vec").dropDuplicates(["key"])
     n_queries = distinct.count()
     if not n_queries:

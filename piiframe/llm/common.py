@@ -49,17 +49,6 @@ def own_folder(spark: SparkSession, name: str):
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def unused(df: DataFrame, *wanted: str) -> list[str]:
-    """Names for working columns that no column of df has, whatever the case of its letters."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder, so that a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, unused
+from ..functions.names import unused
+from .common import small_batches
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 13

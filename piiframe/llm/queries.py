@@ -53,6 +53,11 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.from_pages(table(spark, sf_dir, "pages")))
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can work out as well: payloads and stored files."""
+    return op3_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe_codec,
         op9_language_id,
         op10_warc_derivatives,
+        media_payloads,
     )
 }
 
@@ -116,4 +122,16 @@ def _license_sql() -> str:
     return _LICENSE_SQL.replace("{templates}", ", ".join(each))
 
 
-ORACLE: dict[str, str] = {"op2_license_scan": _license_sql()}
+# A WAV file is 44 bytes of header (one channel, 8000 samples a second, 8 bits each) and the payload.
+_MEDIA_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, octet_length(b) AS n, greatest(64, ((octet_length(b) + 63) // 64) * 64) AS m, b FROM b),
+w AS (SELECT *, b || unhex(repeat('00', (m - n)::INT)) AS payload FROM p),
+le AS (SELECT *, [printf('%08x', (m + 36)::BIGINT), printf('%08x', m::BIGINT)] AS h FROM w),
+f AS (SELECT *, [substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2) FOR x IN h] AS l FROM le)
+SELECT doc_id, n::BIGINT AS n_bytes, m::BIGINT AS payload_bytes, sha256(payload) AS payload_sha256, (m + 44)::BIGINT AS media_bytes,
+  sha256(unhex('52494646' || l[1] || '57415645666d74201000000001000100401f0000401f00000100080064617461' || l[2]) || payload) AS media_sha256
+FROM f
+"""
+
+ORACLE: dict[str, str] = {"op2_license_scan": _license_sql(), "media_payloads": _MEDIA_SQL}

@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_bytes, unused
+from ..functions.names import unused
+from .common import cut, small_batches, text_bytes
 
 BITS = 64
 SEED = 42

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes, unused
+from ..functions.names import unused
+from .common import small_batches, text_bytes
 
 GEAR = np.array([int.from_bytes(blake2b(bytes([i]), digest_size=2, person=b"gear").digest(), "little") for i in range(256)], np.uint16)
 #: One in so many places is proposed as a cut.

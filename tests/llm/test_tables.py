@@ -473,6 +473,49 @@ def test_shards(clashing, none, documents, bucket_rows):
     assert sharding.interleave(none).count() == 0
 
 
+def test_shards_against_brute_force(documents):
+    """The same law by hand: ranks by a seeded hash within each source, all rows in the order of
+    (rank - step) / count, and equal runs of them."""
+    import xxhash as x
+
+    def spark_hash(*parts):  # of integers, by Spark's rule: each one's hash seeds the next
+        h = 42
+        for kind, value in parts:
+            data = value.to_bytes(4, "little", signed=True) if kind == "int" else value.to_bytes(8, "little", signed=True) if kind == "long" else value.encode()
+            h = x.xxh64_intdigest(data, h)
+        return h - 2**64 if h >= 2**63 else h
+
+    rows_ = []
+    for r in documents.select("doc_id", "text", "source").collect():
+        data = (r["text"] or "").encode()
+        size, crc = len(data) + 8, zlib.crc32(data)
+        rows_.append(["+" + r["source"] if r["source"] is not None else "-", spark_hash(("int", 17), ("long", r["doc_id"]), ("long", crc), ("long", size)), r["doc_id"], crc, size])
+    total, places = len(rows_), []
+    buckets = -(-total // 2000)
+    for stratum in {r[0] for r in rows_}:
+        own = sorted((r for r in rows_ if r[0] == stratum), key=lambda r: (r[1] % buckets, *r[1:]))
+        step = spark_hash(("int", 18), ("text", stratum)) % (1 << 20) / (1 << 20)
+        places += [((k + 1 - step) / len(own), *r) for k, r in enumerate(own)]
+    places.sort()
+    want, seen = {}, Counter()
+    for i, (_, _, _, doc, crc, size) in enumerate(places):
+        shard = i * 24 // total
+        want[doc] = (size, crc, shard, seen[shard])
+        seen[shard] += 1
+    got = {r["doc_id"]: (r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.interleave(documents).collect()}
+    assert got == want
+
+
+def test_starts_in_two_steps(spark):
+    counts = spark.createDataFrame([("a", i, i % 7 + 1) for i in range(3000)] + [("b", 5, 2)], "s string, k long, n long")
+    got = {(r["s"], r["k"]): r["start"] for r in sharding._starts(counts, ["s"], "k", step=64).collect()}
+    at = 0
+    for i in range(3000):
+        assert got["a", i] == at
+        at += i % 7 + 1
+    assert got["b", 5] == 0
+
+
 # --- neighbour search
 
 
@@ -707,6 +750,13 @@ def test_pipeline(spark, sf_dir, clashing, none, documents):
     assert set(kept.doc_id) == set(got.doc_id) and not kept.text.duplicated().any()
 
 
+def test_all_are_registered():
+    import __spark_entry__ as entry
+
+    names = [n.split("_")[0] for n in entry.queries()]
+    assert [f"op{i}" for i in range(1, 11)] == [n for n in names if n.startswith("op")] and "pipeline" in names
+
+
 def test_texts_in_no_learned_language_go(spark, sf_dir, documents):
     import corpus_pipeline
 
