@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from piiframe.functions.names import unused
 from piiframe.llm import langid, packing, simhash, subdedup
-from piiframe.llm.common import own_folder, table, unused
+from piiframe.llm.common import own_folder, table
 
 #: A document whose n-grams are less like those of the nearest learned language than this goes, as
 #: does one without a letter.  Typical texts have 1, letters at even chance less than 0.  Of the
@@ -45,14 +46,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are taken out; n_chars follows the text.
 
-    Every row stays; a null text stays null.  Rows without doc_id lose only their own repeats,
+    Every row stays; a null text stays null (and its n_chars as it is).  Rows without doc_id lose only their own repeats,
     rows that share a doc_id are one document.  An empty table gives no rows.  Other columns stay
     as they are, whatever their names.
     """
     names = docs.columns
     out = subdedup.dedup(docs).select(*[F.col(f"`{c}`") for c in names])
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out
 
 
