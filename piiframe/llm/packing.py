@@ -50,68 +50,86 @@ class Lookup(dict):
 
 class WordTokenizer:
     """Token ids of whole texts, as the tokenizers library gives them without special tokens,
-    by looking up white-space-delimited words in a cache.
+    by looking up the vocabulary's pieces in a cache.
 
     The vocabulary's normaliser and splitter never look across white space, so a text's ids
-    are its words' ids in a row.  A word of plain Latin letters is cut as the splitter would
-    and its pieces are cached too; any other word goes to the library whole.  Both caches
-    stop growing at a bound.
+    are its words' ids in a row.  Words of plain Latin letters, digits and marks are lower-cased
+    and cut as the splitter would; any other word goes to the library whole.  The cache stops
+    growing at a bound and holds short pieces only.
     """
 
-    PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    #: Characters that the normaliser only lower-cases.
+    PLAIN = "\x21-\x7eÀ-ÖØ-öø-ÿ"
+    ALL_PLAIN = re.compile(f"[{PLAIN}\t-\r ]*")
+    #: What makes a word one for the library: another character, or the start of a special token.
+    ODD = re.compile(f"[^{PLAIN} ]|<\\|")
+    PIECE = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^a-z0-9ß-öø-ÿ\s]+")
     # str.split() also splits at these, the vocabulary's pattern does not
     NOT_SPACE = re.compile("[\x1c-\x1f]")
+    #: Longer texts are taken in spans that end before white space.
+    SPAN = 1 << 20
+    SPANS = re.compile(r"[\s\S]{1,%d}\S*" % SPAN)
+    #: Characters of the longest piece that is kept, and pieces that the library sees at a time.
+    SHORT, AT_ONCE = 64, 4096
 
-    def __init__(self, vocabulary: str, words: int = 300_000, pieces: int = 400_000):
+    def __init__(self, vocabulary: str, pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary_path(vocabulary))
-        self.words: Lookup = Lookup()
-        self.pieces: dict[str, bytes] = {}
-        self.most_words, self.most_pieces = words, pieces
+        self.known = Lookup()
+        self.most = pieces
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(x)}I", *x.ids) for x in found]
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that the cache lacks."""
-        split: list[tuple[str, ...] | list[str]] = []
-        known, asked = self.pieces, {}
-        for w in words:
-            if w.isascii() and w.isalpha():
-                ps = (w.lower(),)
-            elif w.isascii() and w[:-1].isalpha() and w[-1] in ".,!?;:":
-                ps = (w[:-1].lower(), w[-1])
-            elif self.PLAIN.fullmatch(w) and "<|" not in w:
-                ps = self.PIECE.findall(w.lower())
-            else:
-                ps = (w,)
-            split.append(ps)
-            for p in ps:
-                if p not in known:
-                    asked[p] = b""
-        if asked:
-            asked = dict(zip(asked, self._library(list(asked))))
-            if len(known) < self.most_pieces:
-                known.update(asked)
-                asked = {}
-        if asked:
-            return {w: b"".join([known[p] if p in known else asked[p] for p in ps]) for w, ps in zip(words, split)}
-        return {w: known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for w, ps in zip(words, split)}
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of plain pieces: many in one text, each of which the splitter gives back."""
+        out: list[bytes] = []
+        for i in range(0, len(pieces), self.AT_ONCE):
+            part = pieces[i : i + self.AT_ONCE]
+            found = self.library.encode(" ".join(part), add_special_tokens=False)
+            ids, of = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
+            first = (np.flatnonzero(np.diff(of, prepend=-1)) * 4).tolist()
+            if len(first) != len(part):
+                raise ValueError("the vocabulary does not split as this tokenizer does")
+            out += [ids[a:b] for a, b in zip(first, [*first[1:], len(ids)])]
+        return out
+
+    def _pieces(self, text: str, odd: set[str]) -> list[str]:
+        """The pieces of a text in order; words for the library are pieces as well, and in `odd`."""
+        if self.ALL_PLAIN.fullmatch(text) and "<|" not in text:
+            return self.PIECE.findall(text.lower())
+        text, out, at = " ".join(text.split()), [], 0
+        while found := self.ODD.search(text, at):
+            first = max(text.rfind(" ", at, found.start()) + 1, at)
+            out += self.PIECE.findall(text[at:first].lower())
+            at = text.find(" ", found.end())
+            at = len(text) if at < 0 else at
+            out.append(text[first:at])
+            odd.add(out[-1])
+        return out + self.PIECE.findall(text[at:].lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if self.NOT_SPACE.search(t) else t.split() for t in texts]
-        cache = self.words
-        missing = set().union(*[ws for ws in split if ws]).difference(cache)
-        cache.extra = self._learn(list(missing)) if missing else {}
-        if len(cache) < self.most_words:
-            cache.update(cache.extra)
-        of = cache.__getitem__
-        return [self._library([t])[0] if ws is None else b"".join(map(of, ws)) for t, ws in zip(texts, split)]
+        if any(len(t) > self.SPAN for t in texts):
+            return [b"".join([self._encode([s])[0] for s in ([t] if self.NOT_SPACE.search(t) else self.SPANS.findall(t))]) for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        odd: set[str] = set()
+        split = [None if self.NOT_SPACE.search(t) else self._pieces(t, odd) for t in texts]
+        known = self.known
+        missing = set().union(*[ps for ps in split if ps]).difference(known)
+        if missing:
+            plain, other = list(missing - odd), list(missing & odd)
+            new = dict(zip(plain + other, self._ids(plain) + self._library(other)))
+            if len(known) < self.most:
+                known.update({p: ids for p, ids in new.items() if len(p) <= self.SHORT})
+            known.extra = new
+        of = known.__getitem__
+        return [self._library([t])[0] if ps is None else b"".join(map(of, ps)) for t, ps in zip(texts, split)]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

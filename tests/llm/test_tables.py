@@ -420,7 +420,7 @@ def test_word_tokenizer_equals_library(library, text):
 
 
 def test_full_caches(library):
-    own = packing.WordTokenizer(packing.VOCABULARY, words=2, pieces=2)
+    own = packing.WordTokenizer(packing.VOCABULARY, pieces=2)
     for text in ("a b c", "the cat's 9 lives, é", "d a the zebra. cat's", "d a the zebra. cat's"):
         assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
