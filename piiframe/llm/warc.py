@@ -40,6 +40,9 @@ SOURCE_HEADERS = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warci
 #: Header names as they are written; they are read in any case.
 NAMES = {n.lower(): n for n in (*SOURCE_HEADERS, "WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-Concurrent-To", "WARC-Truncated", "Content-Type", "Content-Length")}
 
+#: Bytes that are inflated at a time, so that many members in a row cost no copies of the rest.
+AT_ONCE = 1 << 16
+
 Record = tuple[dict[str, str], bytes]
 
 
@@ -63,16 +66,18 @@ def write(record: Record) -> bytes:
 
 def unzipped(data: bytes) -> bytes:
     """The gzip members of data one after another; of a broken one, what came before."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
+    out, at = [], 0
+    while data[at : at + 2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        try:
-            out.append(member.decompress(data))
-        except zlib.error:
-            break
-        if not member.eof:
-            break
-        data = member.unused_data.lstrip(b"\0")
+        while not member.eof and at < len(data):
+            part = data[at : at + AT_ONCE]
+            try:
+                out.append(member.decompress(part))
+            except zlib.error:
+                return b"".join(out)
+            at += len(part) - len(member.unused_data)
+        while data[at : at + 1] == b"\0":
+            at += 1
     return b"".join(out)
 
 
@@ -222,8 +227,8 @@ def _inflated(data: bytes, kinds: tuple[int, ...]) -> bytes:
     for kind in kinds:
         step, out = zlib.decompressobj(kind), []
         try:
-            for at in range(0, len(data), 1 << 16):
-                out.append(step.decompress(data[at : at + (1 << 16)]))
+            for at in range(0, len(data), AT_ONCE):
+                out.append(step.decompress(data[at : at + AT_ONCE]))
         except zlib.error:
             if not out or not any(out):
                 continue

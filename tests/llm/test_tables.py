@@ -1,5 +1,6 @@
 """SimHash classes, substring dedup, packing, sharding, neighbour search, WARC, pipeline."""
 
+import re
 import zlib
 from collections import Counter
 
@@ -412,6 +413,27 @@ def library():
 TEXTS = st.text(alphabet=st.sampled_from("abcs 'tREve.,12éÉßſİΣ漢\n\x1c\x85　<|>-́"), max_size=60) | st.text(max_size=40) | st.sampled_from(["x<|endoftext|>y z", "it's 'S we'Ve <|startoftext|>", "ÀB'll c12d"])
 
 
+def test_gzip_members_in_a_row():
+    import gzip
+    import random
+
+    parts = [random.Random(i).randbytes(i * 37) for i in range(0, 4000, 200)]
+    whole = b"".join(gzip.compress(x) + b"\0" * (i % 3) for i, x in enumerate(parts))
+    assert warc.unzipped(whole) == b"".join(parts)
+    broken = gzip.compress(b"first") + gzip.compress(parts[-1])[:-4000]
+    assert warc.unzipped(broken).startswith(b"first" + parts[-1][:60000])
+    assert warc.unzipped(gzip.compress(b"first") + b"junk") == b"first"
+
+
+def test_long_texts_in_spans(library, monkeypatch):
+    monkeypatch.setattr(packing.WordTokenizer, "SPAN", 40)
+    monkeypatch.setattr(packing.WordTokenizer, "SPANS", re.compile(r"[\s\S]{1,40}\S*"))
+    own = packing.WordTokenizer(packing.VOCABULARY)
+    for text in ("it's a cat. " * 50, "x" * 300, "漢字 don't\u3000ÀB'll\n" * 20, "a\x1cb " * 30, "x<|endoftext|>y " * 9):
+        assert np.frombuffer(own.encode([text, "", "é"])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert all(len(p) <= own.SHORT for p in own.known)
+
+
 @given(TEXTS)
 @settings(max_examples=300, deadline=None)
 def test_word_tokenizer_equals_library(library, text):
