@@ -26,6 +26,11 @@ CLASSES = {
 TOKEN_PATTERN = r"tkn-[a-f0-9]{8,64}@email\.com|\+1-555-[0-9]{7}|000-00-[0-9]{4}|4000-0000-0000-[0-9]{4}|000000[0-9]{3}|\[TKN-[a-f0-9]{8,64}\]"
 
 
+#: Hex digits in the tokens of addresses and opaque values: of the compatible default, which two of
+#: some 10^5 values may share, and of tokens that no two values share.  Patterns take 8 to 64.
+NARROW, WIDE = 8, 32
+
+
 def strip(c: Column) -> Column:
     """Without white space (of any script) at either end."""
     return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
@@ -61,21 +66,24 @@ def digits(hexed: Column, n: int, offset: int = 0) -> Column:
     return F.rpad(F.substring(F.translate(hexed, "abcdef", "012345"), 1 + offset, n), n, "0")
 
 
-def token(c: Column, master: str) -> Column:
-    """The format-preserving token of a value; null stays null."""
-    parts = lambda v: let(F.struct(_hmac(v, master).alias("h"), _class(v).alias("kind")), _shaped)
+def token(c: Column, master: str, width: int = NARROW) -> Column:
+    """The format-preserving token of a value; null stays null.  Formats of addresses and opaque
+    values have room for `width` hex digits, the others have none to choose."""
+    if not 8 <= width <= 64:
+        raise ValueError(f"a token has 8 to 64 hex digits, not {width}")
+    parts = lambda v: let(F.struct(_hmac(v, master).alias("h"), _class(v).alias("kind")), lambda p: _shaped(p, width))
     return F.when(c.isNotNull(), let(strip(c), parts))
 
 
-def _shaped(parts: Column) -> Column:
+def _shaped(parts: Column, width: int) -> Column:
     h, kind = parts["h"], parts["kind"]
     return (
-        F.when(kind == "email", F.concat(F.lit("tkn-"), F.substring(h, 1, 8), F.lit("@email.com")))
+        F.when(kind == "email", F.concat(F.lit("tkn-"), F.substring(h, 1, width), F.lit("@email.com")))
         .when(kind == "phone", F.concat(F.lit("+1-555-"), digits(h, 7)))
         .when(kind == "ssn", F.concat(F.lit("000-00-"), digits(h, 4)))
         .when(kind == "card", F.concat(F.lit("4000-0000-0000-"), digits(h, 4)))
         .when(kind == "routing", F.concat(F.lit("000000"), digits(h, 3)))
-        .otherwise(F.concat(F.lit("[TKN-"), F.substring(h, 1, 8), F.lit("]")))
+        .otherwise(F.concat(F.lit("[TKN-"), F.substring(h, 1, width), F.lit("]")))
     )
 
 
@@ -96,9 +104,15 @@ def _token_shape(v: Column) -> Column:
     )
 
 
-def token_or_same(c: Column, master: str) -> Column:
+def token_or_same(c: Column, master: str, width: int = NARROW) -> Column:
     """A value that is a token already stays as it is."""
-    return F.when(looks_like_token(c), c).otherwise(token(c, master))
+    return F.when(looks_like_token(c), c).otherwise(token(c, master, width))
+
+
+def short(c: Column) -> Column:
+    """The narrow token of a wide one, for show: it may stand for several values and is not what the
+    vault has.  What is no wide token stays."""
+    return F.regexp_replace(c, r"\A(?:(tkn-[a-f0-9]{8})[a-f0-9]{1,56}(@email\.com)|(\[TKN-[a-f0-9]{8})[a-f0-9]{1,56}(\]))\z", "$1$2$3$4")
 
 
 def plaintext_hash(c: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import unused
-from ..functions.text import TOKEN_PATTERN, looks_like_token, luhn, token
+from ..functions.text import NARROW, TOKEN_PATTERN, looks_like_token, luhn, token
 
 # First-tier patterns in their order of precedence.  The class before a phone
 # number may be a separator that is replaced with it.
@@ -207,10 +207,10 @@ def _entities(spans: Column, method: str) -> Column:
     return F.reverse(F.transform(spans, lambda s: F.struct(s["type"].alias("type"), s["value"].alias("value"), F.lit(method).alias("method"), s["confidence"].alias("confidence"), s["masked"].alias("masked_value"))))
 
 
-def _kept(spans: Column, options: Options, master: str) -> Column:
+def _kept(spans: Column, options: Options, master: str, width: int = NARROW) -> Column:
     """Spans over the threshold that are no tokens, with their tokens."""
     sure = F.filter(spans, lambda s: (s["confidence"] >= options.threshold) & ~looks_like_token(s["value"]))
-    return F.transform(sure, lambda s: s.withField("masked", token(s["value"], master)))
+    return F.transform(sure, lambda s: s.withField("masked", token(s["value"], master, width)))
 
 
 def _judged(texts: list[str], options: Options, detector: Detector) -> list[list[dict]]:
@@ -243,7 +243,7 @@ def _judged(texts: list[str], options: Options, detector: Detector) -> list[list
     return [alone(t) for t in texts]  # one text's failure leaves no other unscanned
 
 
-def _second_tier(df: DataFrame, text: str, out: str, options: Options, detector: Detector, master: str) -> DataFrame:
+def _second_tier(df: DataFrame, text: str, out: str, options: Options, detector: Detector, master: str, width: int = NARROW) -> DataFrame:
     """Columns `out` (spans with tokens) found by a detector in df[text]."""
 
     @F.pandas_udf(SPANS)
@@ -253,7 +253,7 @@ def _second_tier(df: DataFrame, text: str, out: str, options: Options, detector:
         return pd.Series(_judged([t or "" for t in texts], options, detector))
 
     with_spans = df.withColumn(out, find(F.col(text))).withColumn(out, resolve(F.col(out)))
-    return with_spans.withColumn(out, _kept(F.col(out), options, master))
+    return with_spans.withColumn(out, _kept(F.col(out), options, master, width))
 
 
 def second_spans(df: DataFrame, texts: Column, out: str, options: Options, detector: Detector) -> DataFrame:
@@ -271,9 +271,9 @@ def second_spans(df: DataFrame, texts: Column, out: str, options: Options, detec
     return df.withColumn(out, find(texts))
 
 
-def scan(df: DataFrame, text: str, master: str, options: Options = Options(), detector: Detector | None = None, text_out: str | None = None, entities_out: str | None = None) -> DataFrame:
+def scan(df: DataFrame, text: str, master: str, options: Options = Options(), detector: Detector | None = None, text_out: str | None = None, entities_out: str | None = None, width: int = NARROW) -> DataFrame:
     """df with the rewritten text and/or the entity list.  A null text gives null and no
-    entities.  Without a detector the second tier finds nothing."""
+    entities.  Without a detector the second tier finds nothing.  `width` is that of tokens."""
     source = F.col(text)
     nothing = F.array().cast(f"array<{ENTITY}>")
     own, every, tokens, kept, second = unused(df, "pii_text", "pii_all", "pii_tokens", "pii_kept", "pii_second")
@@ -287,11 +287,11 @@ def scan(df: DataFrame, text: str, master: str, options: Options = Options(), de
             work = work.withColumn(kept, resolve_longest(F.col(every)))
         else:
             work = work.withColumn(kept, resolve(F.col(every)))
-        work = work.withColumn(kept, _kept(F.col(kept), options, master))
+        work = work.withColumn(kept, _kept(F.col(kept), options, master, width))
         work = work.withColumn(own, F.when(F.size(kept) > 0, _splice(F.col(own), F.col(kept), lambda s: s["masked"])).otherwise(F.col(own)))
         entities.append(_entities(F.col(kept), "regex"))
     if options.second and detector is not None:
-        work = _second_tier(work, own, second, options, detector, master)
+        work = _second_tier(work, own, second, options, detector, master, width)
         work = work.withColumn(own, _splice(F.col(own), F.col(second), lambda s: s["masked"]))
         entities.append(_entities(F.col(second), detector.method))
     if entities_out:

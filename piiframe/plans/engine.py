@@ -21,31 +21,34 @@ from ..streaming import audit
 
 class Engine:
     """Everything belongs to one engine: its keys, its vault, its detector.  Times are epoch
-    seconds that the caller gives, so that a plan gives the same rows whenever it runs."""
+    seconds that the caller gives, so that a plan gives the same rows whenever it runs.
 
-    def __init__(self, spark: SparkSession, keys: KeyProvider | None = None, vault: vaults.Vault | None = None, detector: detect.Detector | None = None, ttl: int = vaults.DEFAULT_TTL, audit_sink: Callable[[DataFrame], None] | None = None):
+    Of values that share a token the vault holds one.  With a `width` of text.WIDE hex digits no two
+    addresses or opaque values do; the default is the compatible one."""
+
+    def __init__(self, spark: SparkSession, keys: KeyProvider | None = None, vault: vaults.Vault | None = None, detector: detect.Detector | None = None, ttl: int = vaults.DEFAULT_TTL, audit_sink: Callable[[DataFrame], None] | None = None, width: int = text.NARROW):
         keys = keys or EnvKeys()
         self.spark, self.vault, self.detector, self.ttl, self.audit_sink = spark, vault or vaults.MemoryVault(spark), detector, ttl, audit_sink
-        self._master, self.cipher = keys.master_key(), Cipher(keys.encryption_key())
+        self._master, self._width, self.cipher = keys.master_key(), width, Cipher(keys.encryption_key())
 
     @classmethod
     def from_env(cls, spark: SparkSession, keys: KeyProvider | None = None) -> Engine:
         """An engine as the driver's environment describes it: PIIFRAME_VAULT and its options,
-        PIIFRAME_VAULT_TTL, PIIFRAME_SCANNER (local, remote or none) with PIIFRAME_SCANNER_URL, and
-        PIIFRAME_AUDIT_PATH (no trail where unset)."""
+        PIIFRAME_VAULT_TTL, PIIFRAME_SCANNER (local, remote or none) with PIIFRAME_SCANNER_URL,
+        PIIFRAME_AUDIT_PATH (no trail where unset) and PIIFRAME_TOKEN_WIDTH."""
         env = os.environ.get
         scanner = env("PIIFRAME_SCANNER", "none").lower()
         if scanner not in ("none", "local", "remote"):
             raise ValueError(f"unknown scanner type: {scanner!r}")
         found = {"local": detect.statistical, "remote": lambda: detect.remote(env("PIIFRAME_SCANNER_URL", "http://localhost:5001/analyze"), fail_open=True), "none": lambda: None}[scanner]()
         path = env("PIIFRAME_AUDIT_PATH")
-        return cls(spark, keys, vaults.vault_from_env(spark), found, int(env("PIIFRAME_VAULT_TTL", vaults.DEFAULT_TTL)), audit.AuditLog(path).write if path else None)
+        return cls(spark, keys, vaults.vault_from_env(spark), found, int(env("PIIFRAME_VAULT_TTL", vaults.DEFAULT_TTL)), audit.AuditLog(path).write if path else None, int(env("PIIFRAME_TOKEN_WIDTH", text.NARROW)))
 
     # --- tokens
 
     def token(self, c: Column) -> Column:
         """The token that a value gets when the vault has none for it; tokens stay."""
-        return text.token_or_same(c, self._master)
+        return text.token_or_same(c, self._master, self._width)
 
     def new_values(self, df: DataFrame, column: str, as_of: float) -> DataFrame:
         """(value, pt_hash, token, known) of each different value that is no token: known ones
@@ -55,7 +58,7 @@ class Engine:
         values = values.withColumn("pt_hash", F.sha2("value", 256))
         held = self.vault.find(values.select("pt_hash"), as_of).withColumnRenamed("token", "held")
         both = values.join(held, "pt_hash", "left")
-        return both.select("value", "pt_hash", F.coalesce("held", text.token(F.col("value"), self._master)).alias("token"), F.col("held").isNotNull().alias("known"))
+        return both.select("value", "pt_hash", F.coalesce("held", text.token(F.col("value"), self._master, self._width)).alias("token"), F.col("held").isNotNull().alias("known"))
 
     def encode(self, df: DataFrame, column: str, out: str, as_of: float, ttl: int | None = None, seq: int | None = None) -> DataFrame:
         """df with tokens for a column; values that the vault lacks are stored (a repeated
@@ -96,10 +99,10 @@ class Engine:
     # --- texts and nested columns
 
     def entities(self, df: DataFrame, column: str, out: str, options: detect.Options = detect.Options()) -> DataFrame:
-        return detect.scan(df, column, self._master, options, self.detector, entities_out=out)
+        return detect.scan(df, column, self._master, options, self.detector, entities_out=out, width=self._width)
 
     def tokenize_text(self, df: DataFrame, column: str, out: str, options: detect.Options = detect.Options(), entities: str | None = None) -> DataFrame:
-        return detect.scan(df, column, self._master, options, self.detector, text_out=out, entities_out=entities)
+        return detect.scan(df, column, self._master, options, self.detector, text_out=out, entities_out=entities, width=self._width)
 
     def persist(self, df: DataFrame, entities: str, as_of: float, ttl: int | None = None, seq: int | None = None) -> None:
         """Store the values of an entity column in the vault: a job of its own, once per value."""
@@ -114,7 +117,7 @@ class Engine:
         kinds = {c: df.schema[c].dataType for c in columns if has_text(df.schema[c].dataType)}
 
         def replaced(c: Column, spans: Column) -> Column:
-            kept = detect._kept(detect.resolve(spans), options, self._master)
+            kept = detect._kept(detect.resolve(spans), options, self._master, self._width)
             return F.when(text.looks_like_token(c), c).otherwise(detect._splice(c, kept, lambda s: s["masked"]))
 
         if options.first and kinds:

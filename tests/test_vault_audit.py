@@ -185,6 +185,57 @@ def test_collisions_hold_the_greatest_hash(spark, tmp_path, kind):
         assert {(r.t, r.p) for r in engine.decode(again, "t", "p", 1001.0).collect()} == {(t, b[1]) for t, b in best.items()}
 
 
+def test_wide_tokens_tell_values_apart(spark, tmp_path):
+    """Two addresses and one narrow token; the vault, texts and deletion know them by wide ones."""
+    from piiframe.functions import text
+    from piiframe.plans.queries import KEYS as shown
+
+    one, two = "User.28913@mail3.example.com", "User.40075@mail0.example.com"
+    df = frame(spark, one, two, "555-123-4567", "Ada", None)
+    narrow = column(Engine(spark, shown).encode(df, "v", "t", 1000.0), "t")
+    assert narrow[0] == narrow[1] == "tkn-a22dc8d9@email.com"
+    for kind, options in (("memory", {}), ("parquet", {"path": str(tmp_path / "v")}), ("redis", {"connect": lambda: Fake(tmp_path / "kv")})):
+        (tmp_path / "kv").mkdir(exist_ok=True)
+        own = Engine(spark, shown, vault=vault.make_vault(kind, spark, **options), ttl=60, width=text.WIDE)
+        done = own.encode(df, "v", "t", 1000.0).select("i", "t")
+        tokens = column(done, "t")
+        assert len(set(tokens)) == 5 and len(tokens[0]) == len("tkn-@email.com") + 32 and tokens[2] == narrow[2]
+        assert column(done.select("i", text.short(F.col("t")).alias("s")), "s") == narrow
+        assert column(own.encode(done, "t", "again", 1000.0), "again") == tokens
+        assert column(own.decode(done, "t", "p", 1001.0), "p") == [one, two, "555-123-4567", "Ada", None]
+        own.delete(done.where("i = 0"), "t", seq=2000 << 30)
+        assert column(own.decode(done, "t", "p", 1001.0, mode="null"), "p") == [None, two, "555-123-4567", "Ada", None]
+    own = Engine(spark, shown, width=text.WIDE)
+    texts = own.tokenize_text(frame(spark, f"from {one} to {two}."), "v", "safe", entities="e")
+    own.persist(texts, "e", 1000.0)
+    assert column(own.detokenize_text(texts.select("i", "safe"), "safe", "back", 1001.0), "back") == [f"from {one} to {two}."]
+    kept = ["tkn-00000000@email.com", "[TKN-12345678]", "tkn-anything@email.com", f"to {tokens[0]}"]
+    assert column(frame(spark, *kept).select("i", text.short(F.col("v")).alias("s")), "s") == kept
+    for width in (7, 65):
+        with pytest.raises(ValueError):
+            Engine(spark, shown, width=width).token(F.col("v"))
+
+
+#: Keys of addresses that share a narrow token, two by two.
+SHARED = (11979, 88810, 28913, 40075, 201978, 247076, 98352, 664684, 11638, 181304)
+
+
+@pytest.mark.parametrize("name", ["decode_strict_hits"])
+def test_shared_tokens_against_sql(spark, tmp_path, name):
+    import duckdb
+
+    from piiframe.plans.queries import ORACLE, QUERIES
+
+    spark.createDataFrame([(k, f"Customer#{k:09d}") for k in (*SHARED, *range(30))], "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    got = QUERIES[name](spark, str(tmp_path))
+    cur = con.execute(ORACLE[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, cur.fetchall()))
+
+
 def test_clients():
     calls = []
 
